@@ -90,6 +90,38 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def small_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-byte strings, mixed lightly: to order them, not to tell them apart."""
+    _, down = _powers(len(prefix))
+    h = (prefix[k:] - prefix[:-k]) * down[: len(prefix) - k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def trim_memory() -> None:
+    """Give freed memory back: Python workers live on, idle, beside the executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(run):
+    """For mapInArrow: the same, with memory given back at the end of each task."""
+    def trimming(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return trimming
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array, and the n+1 offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
