@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, own_columns
+from .common import chunks, own_columns, trimmed
 
 #: The longest stretch between two emissions, in units of the lookahead.
 _STRIDE = 4
-#: Cached words and pairs are dropped beyond so many.
-_CACHED = 800_000
+#: Cached words and pairs in a generation.
+_CACHED = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,14 +43,19 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is used again comes back."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= 64:
             if len(self) >= _CACHED:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -79,7 +84,6 @@ class Codec:
         #: Tokens that their own text encodes to; no other token is ever emitted.
         self.solid = {t for t in self.vocab if self._merge(self._symbols_of(t)) == [t]}
         self.words = _Cache(self._chunk)
-        self.runs = _Cache(lambda p: " ".join([str(self.vocab[t]) for t in self.stream(p)]))
 
     # encoding of a piece
 
@@ -149,12 +153,12 @@ class Codec:
                     done = meet
 
     def _chunk(self, chunk: str) -> str:
-        """Ids, as text, of a chunk without white space."""
-        out: list[str] = []
-        for piece in self.pieces.findall(chunk):
-            mapped = "".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")])
-            out.append(self.runs[mapped])
-        return " ".join(out)
+        """Ids, as text, of a chunk without white space; a piece is a chunk of its own, so that one cache has both."""
+        pieces = self.pieces.findall(chunk)
+        if len(pieces) > 1:
+            return " ".join([self.words[p] for p in pieces])
+        mapped = "".join([self.bytes[b] for b in chunk.encode("utf-8", "surrogatepass")])
+        return " ".join([str(self.vocab[t]) for t in self.stream(mapped)])
 
     # whole texts
 
@@ -234,7 +238,7 @@ def tokenize(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), wi
 
     def run(batches):
         own = codec(content.value)
-        for part in chunks(batches, "text", 4 << 20):
+        for part in chunks(batches, "text", 2 << 20):
             ids = [own.encode_text(t) if t else "" for t in part.column("text").to_pylist()]
             out = [part.column(c) for c in keep]
             out.append(pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()))
@@ -246,4 +250,4 @@ def tokenize(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), wi
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(trimmed(run), ddl)

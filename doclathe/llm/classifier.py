@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, lowered, mix, own_columns, prefix_hash, span_hash, word_spans
+from .common import bytes_of, chunks, lowered, mix, own_columns, prefix_hash, span_hash, trimmed, word_spans
 
 LABELLERS = ("length", "word_length", "symbols", "variety", "repeats", "digits", "letters", "top_word")
 BUCKETS = 1 << 16
@@ -151,7 +151,7 @@ def classify(docs: DataFrame) -> DataFrame:
             names, counts = np.unique(_vote_text(Words(part.column("text")).votes()), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(counts, pa.int64())], names=["votes", "n"])
 
-    counts = {r.votes: r.n for r in rows.mapInArrow(vote, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.votes: r.n for r in rows.mapInArrow(trimmed(vote), "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     known, _ = posteriors(counts)
     total = sum(counts.values())
     # the expected number of sampled rows is SAMPLE, whatever the input
@@ -165,7 +165,7 @@ def classify(docs: DataFrame) -> DataFrame:
             at = np.searchsorted(doc, np.arange(words.n + 1))
             yield pa.RecordBatch.from_arrays([pa.array(_vote_text(words.votes()), pa.string()), *(pa.array([a[at[i] : at[i + 1]].astype(t).tobytes() for i in range(words.n)], pa.binary()) for a, t in ((bucket, np.uint16), (value, np.float32)))], names=["votes", "k", "x"])
 
-    got = sample.mapInArrow(featured, "votes string, k binary, x binary").collect()
+    got = sample.mapInArrow(trimmed(featured), "votes string, k binary, x binary").collect()
     model = train(sorted(((known[r.votes], np.frombuffer(r.k, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32).astype(float)) for r in got), key=lambda r: (r[0], r[1].tobytes())))
     fixed = None if model is None else (model[0].astype(np.float32), model[1])
 
@@ -181,4 +181,4 @@ def classify(docs: DataFrame) -> DataFrame:
                 points = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=fixed[0][bucket] * value, minlength=words.n) + fixed[1], -30, 30)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(votes, pa.string()), pa.array(chance, pa.float64()), pa.array(points, pa.float64()), pa.array(points >= LEAST_SCORE, pa.bool_())], names=["doc_id", "votes", "posterior", "score", "kept"])
 
-    return rows.mapInArrow(score, "doc_id long, votes string, posterior double, score double, kept boolean")
+    return rows.mapInArrow(trimmed(score), "doc_id long, votes string, posterior double, score double, kept boolean")

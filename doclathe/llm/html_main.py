@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, own_columns, written
+from .common import chunks, own_columns, trimmed, written
 
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,7 +328,7 @@ def _content(batches):
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    parsed = written(own_columns(pages, "page_id", "url", "html").mapInArrow(_parse, _PARSED), "html-pages")
+    parsed = written(own_columns(pages, "page_id", "url", "html").mapInArrow(trimmed(_parse), _PARSED), "html-pages")
     model = parsed.groupBy("host").agg(F.min(F.struct("page_id", "frame")).alias("m")).select(F.col("host").alias("of"), F.col("m.frame").alias("model"))
     aligned = parsed.select("host", "frame").join(model, F.col("host") == F.col("of")).select("host", "frame", "model")
     votes = aligned.mapInArrow(_votes, "host string, node int, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))

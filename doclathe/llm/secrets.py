@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, own_columns, written
+from .common import chunks, own_columns, trimmed, written
 
 KINDS = ("assign", "access", "hex", "owned")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -95,7 +95,7 @@ def _scan(batches):
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_assign, n_access, n_hex, base_sha256, spans (text) and found (the same as an array)."""
     rows = own_columns(docs, "doc_id", "text", "source", "lang").withColumn("text_hash", F.xxhash64("text"))
-    scanned = written(rows.mapInArrow(_scan, _SCANNED_DDL), "secrets")
+    scanned = written(rows.mapInArrow(trimmed(_scan), _SCANNED_DDL), "secrets")
     each = scanned.where(F.size("candidates") > 0).select("doc_id", "text_hash", "owner", "repo", F.explode("candidates").alias("c")).select("doc_id", "text_hash", "owner", "repo", "c.*")
     # distinct first, so that a secret which is everywhere is a row for each owner, not for each copy
     owners = each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), "repo").distinct().groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("repo").alias("n_repos"))
@@ -134,4 +134,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     spans = secret_spans(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "found").dropDuplicates(["_d", "_t"])
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     held = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_d"]) & (keyed["_h"] == spans["_t"]), "left").drop("_d", "_t", "_h")
-    return held.mapInArrow(_redact, docs.schema)
+    return held.mapInArrow(trimmed(_redact), docs.schema)
