@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, from_planes, lowered, mix, own_columns, partitions, planes, prefix_hash, span_hash, word_spans, written
+from .common import bytes_of, chunks, from_planes, lowered, mix, own_columns, partitions, planes, prefix_hash, span_hash, trim_memory, trimmed, word_spans, written
 from .components import connected_components
 
 NGRAM = 5
 PERCENT = 80
 #: Sets in a group, at most.
 MOST = 1500
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -124,6 +124,7 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
             h, doc, who, many = h[keep], doc[keep], who[keep], np.minimum(many[keep], (1 << 32) - 1).astype(np.uint32)
             at = np.searchsorted(who, np.arange(len(rows) + 1))
             out += [(0, r["batch"], "grams", planes(h[a:b]), doc[a:b].tobytes(), many[a:b].tobytes(), None) for r, a, b in zip(rows, at, at[1:]) if b > a]
+        trim_memory()
         return _table(_ROWS, out)
 
     def gather(table: pa.Table) -> pa.Table:
@@ -143,10 +144,11 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
                 k = slice(at[i], at[i + 1])
                 enough = size[i] > 0 and 100 * (at[i + 1] - at[i]) >= percent * size[i] and ids[i] != _NO_ID
                 out.append((None if ids[i] == _NO_ID else int(ids[i]), int(size[i]), int(s1[i]), int(s2[i]), h[k].tobytes() if enough else None, many[k].tobytes() if enough else None))
+        trim_memory()
         return _table(_SETS, out)
 
     rows = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.mapInArrow(scatter, _ROWS).groupBy("key").applyInArrow(count, _ROWS)
+    met = rows.mapInArrow(trimmed(scatter), _ROWS).groupBy("key").applyInArrow(count, _ROWS)
     return met.groupBy("batch").applyInArrow(gather, _SETS)
 
 
