@@ -228,3 +228,28 @@ _ITEMS = """(SELECT *, CASE WHEN abs(b) <= 0.05 * sqrt(a * a + b * b) THEN CASE
 _add("quarter_turn", lambda spark, d: _items(spark, d).groupBy("turn").agg(F.count(F.lit(1)).alias("n")), f"SELECT turn, count(*) AS n FROM {_ITEMS} GROUP BY turn")
 _add("dominant_turn", lambda spark, d: relational.dominant_turn(_items(spark, d), ["doc_id"], "turn", 0.7), f"SELECT t.doc_id, w.turn FROM (SELECT doc_id, count(*) AS n FROM {_ITEMS} GROUP BY 1) t LEFT JOIN (SELECT doc_id, turn, count(*) AS k FROM {_ITEMS} WHERE turn IS NOT NULL AND turn <> 0 GROUP BY 1, 2) w ON t.doc_id = w.doc_id AND w.k >= 0.7 * t.n")
 _add("upright_placement", lambda spark, d: _items(spark, d).withColumn("p", expr.upright("x", "y", "w", "turn", F.lit(600.0), F.lit(800.0))).groupBy("doc_id").agg(F.round(F.sum("p.x"), 4).alias("x"), F.round(F.sum("p.y"), 4).alias("y")), f"SELECT doc_id, round(sum(CASE turn WHEN 270 THEN 800 - y ELSE x END), 4) AS x, round(sum(CASE turn WHEN 270 THEN x ELSE y END), 4) AS y FROM {_ITEMS} GROUP BY doc_id")
+
+
+# the fused Arrow path: beyond SQL, tested against the core functions
+from ..core.options import preset as _preset  # noqa: E402
+from ..functions import udfs  # noqa: E402
+
+_add("clean_full", lambda spark, d: udfs.clean_routed(_noisy(spark, d).select("doc_id", "t"), "t").select("doc_id", F.col("cleaned").alias("text")))
+_add("clean_aggressive", lambda spark, d: _noisy(spark, d).select("doc_id", udfs.clean(F.col("t"), _preset("aggressive")).alias("text")))
+_add("html_to_text", lambda spark, d: _plain(spark, d, "pages").select("page_id", udfs.html_to_text("html").alias("text")).withColumn("tokens", expr.estimate_tokens("text")))
+_add("nfkc", lambda spark, d: _noisy(spark, d).select("doc_id", udfs.nfkc("t").alias("text")))
+_add("rtf_to_text", lambda spark, d: _plain(spark, d).select("doc_id", udfs.rtf_to_text(F.concat(F.lit("{\\rtf1\\ansi "), F.regexp_replace("text", "\n", "\\\\\\\\par "), F.lit("}"))).alias("text")))
+
+
+def _transcripts(spark, d):
+    rows = _plain(spark, d, "conversations")
+    line = F.concat(F.initcap("role"), F.lit(" Lee "), expr.clock(F.col("turn") * 61 + 5), F.lit(": "), F.regexp_replace("text", "\n", " "))
+    parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+
+
+_add("tidy_transcript", lambda spark, d: _transcripts(spark, d).select("conv_id", udfs.tidy_transcript("text").alias("text")))
+_add("looks_like_transcript", lambda spark, d: _transcripts(spark, d).select("conv_id", udfs.looks_like_transcript("text").alias("is_transcript")))
+_add("utterances", lambda spark, d: udfs.utterances(_transcripts(spark, d), "conv_id", "text"))
+_add("detect_format", lambda spark, d: _plain(spark, d, "pages").select("page_id", expr.detect_format(F.encode("html", "UTF-8"), F.lit(None).cast("string")).alias("format")), f"SELECT page_id, CASE WHEN contains(substr(html, 1, 1024), '%PDF') THEN 'pdf' WHEN regexp_matches(substr(html, 1, 4096), '(?i)\\A\\s*<(?:!doctype\\s+html|html|head|body)\\b') OR len(regexp_extract_all(substr(html, 1, 4096), {_q(expr.TAG_PATTERN)})) >= 2 THEN 'html' ELSE 'text' END AS format FROM pages")
+_add("extract", lambda spark, d: _plain(spark, d, "pages").select("page_id", udfs.extract(F.encode("html", "UTF-8"), F.lit("page.html")).alias("d")).select("page_id", "d.format", "d.text", "d.error"))
