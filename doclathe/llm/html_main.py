@@ -25,24 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core.dom import BLOCK, RAW, Node, parse
 from .common import chunks, own_columns, trimmed, written
 
-#: Elements without content.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content isn't markup.
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that are never main text.
 DROP = frozenset("head script style noscript iframe template nav footer aside form button select option textarea input object svg canvas audio video map dialog menu title xmp noembed noframes".split())
-#: Elements that begin and end a block.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Parts of class names and ids that mark what isn't main text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments commentlist disqus reply replies respond widget pagination pager skip masthead topbar toolbar".split())
 #: The same, but not within an article, where they hold its own head.
 OUTER_MARKS = frozenset("header banner".split())
-_CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-_SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""", re.I)
 _SPACE = re.compile(r"\s+")
 #: A node is template if its text is the same on this share of the host's pages, three at least.
@@ -52,13 +44,6 @@ LEAST_PAGES = 3
 MOST_PAIRS = 40_000
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "kids")
-
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []  # kids: nodes and strings
-
-
 @lru_cache(20_000)
 def _attributes(attrs: str) -> tuple[str, frozenset, bool]:
     """Role, parts of class names and id, hidden."""
@@ -74,66 +59,6 @@ def _attributes(attrs: str) -> tuple[str, frozenset, bool]:
     return role, frozenset(names), hidden
 
 
-def parse(source: str) -> Node:
-    """A tree that follows the usual rules on tags left open; never fails."""
-    root = Node("html")
-    stack = [root]
-    at, n = 0, len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        text = source[at : m.start() if m else n]
-        if text:
-            stack[-1].kids.append(text)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag doesn't close blocks
-            continue
-        if tag == "html" or tag == "body" and any(s.tag == "body" for s in stack):
-            continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if tag in _SIBLINGS:
-            ends, within = _SIBLINGS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag != "tr" or i == 0 or stack[-1].tag not in ends:
-                        break
-                elif stack[i].tag in within:
-                    break
-        if tag == "body" and stack[-1].tag == "head":
-            stack.pop()
-        node = Node(tag, m[3])
-        stack[-1].kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
-            node.kids.append(source[at : end.start() if end else n])
-            at = end.start() if end else n
-            if end:
-                at = (source.find(">", end.start()) + 1) or n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    return root
-
-
 def _says_chrome(node: Node, inside: bool) -> bool:
     if node.tag in DROP or node.tag == "header" and not inside:
         return True
