@@ -2,7 +2,7 @@
 
 Each page becomes a DOM tree. Elements that say what they are (menus, headers, footers, sidebars, forms,
 scripts, adverts, comments and so on, by tag, role or class) are left out. The pages of a host are then aligned
-with one page of it by simple tree matching: nodes whose text is the same on at least half of the host's pages
+with one page of it, of the commonest shape, by simple tree matching: nodes whose text is the same on at least half of the host's pages
 are its template, varying slots are content. Where a page marks its article (``article``, ``main``), that is
 the content as it stands; elsewhere the content is the slots that aren't template.
 
@@ -199,7 +199,12 @@ def align(a: list, b: list) -> list[tuple[int, int, bool]]:
     return out
 
 
-_PARSED = "page_id long, url string, host string, text string, frame string, nodes array<int>, blocks array<string>"
+_PARSED = "page_id long, url string, host string, text string, frame string, shape long, nodes array<int>, blocks array<string>"
+
+
+def _shape(frame: list[str]) -> int:
+    """A hash of a frame without its texts."""
+    return xxhash.xxh64_intdigest(";".join(x.rpartition(":")[0] for x in frame)) >> 1
 
 
 def _parse(batches):
@@ -210,9 +215,9 @@ def _parse(batches):
             host = (url or "").partition("://")[2]
             host = re.split(r"[/?#]", host, maxsplit=1)[0].lower()
             done = page.marked or not page.others
-            rows.append((page_id, url, host, "\n".join(page.articles) if done else None, ";".join(page.frame), [] if done else [n for n, _ in page.others], [] if done else [t for _, t in page.others]))
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[c.split(" ")[0] for c in _PARSED.split(", ")])
+            rows.append((page_id, url, host, "\n".join(page.articles) if done else None, ";".join(page.frame), _shape(page.frame), [] if done else [n for n, _ in page.others], [] if done else [t for _, t in page.others]))
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=[c.split(" ")[0] for c in _PARSED.split(", ")])
 
 
 def _votes(batches):
@@ -254,7 +259,9 @@ def _content(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     parsed = written(own_columns(pages, "page_id", "url", "html").mapInArrow(trimmed(_parse), _PARSED), "html-pages")
-    model = parsed.groupBy("host").agg(F.min(F.struct("page_id", "frame")).alias("m")).select(F.col("host").alias("of"), F.col("m.frame").alias("model"))
+    # a page of the commonest shape stands for its host
+    shapes = parsed.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("page_id", "frame")).alias("m"))
+    model = shapes.groupBy("host").agg(F.max(F.struct("k", "shape", "m")).alias("best")).select(F.col("host").alias("of"), F.col("best.m.frame").alias("model"))
     aligned = parsed.select("host", "frame").join(model, F.col("host") == F.col("of")).select("host", "frame", "model")
     votes = aligned.mapInArrow(_votes, "host string, node int, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))
     # per host a list no longer than its reference page
