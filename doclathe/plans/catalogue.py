@@ -238,7 +238,7 @@ _add("clean_full", lambda spark, d: udfs.clean_routed(_noisy(spark, d).select("d
 _add("clean_aggressive", lambda spark, d: _noisy(spark, d).select("doc_id", udfs.clean(F.col("t"), _preset("aggressive")).alias("text")))
 _add("html_to_text", lambda spark, d: _plain(spark, d, "pages").select("page_id", udfs.html_to_text("html").alias("text")).withColumn("tokens", expr.estimate_tokens("text")))
 _add("nfkc", lambda spark, d: _noisy(spark, d).select("doc_id", udfs.nfkc("t").alias("text")))
-_add("rtf_to_text", lambda spark, d: _plain(spark, d).select("doc_id", udfs.rtf_to_text(F.concat(F.lit("{\\rtf1\\ansi "), F.regexp_replace("text", "\n", "\\\\\\\\par "), F.lit("}"))).alias("text")))
+_add("rtf_to_text", lambda spark, d: _plain(spark, d).select("doc_id", udfs.rtf_to_text(F.concat(F.lit("{\\rtf1\\ansi "), F.replace("text", F.lit("\n"), F.lit("\\par ")), F.lit("}"))).alias("text")))
 
 
 def _transcripts(spark, d):
