@@ -213,7 +213,7 @@ def window_minima(rows: np.ndarray, size: np.ndarray, kmer: np.ndarray, least: n
     new[1:] = k[1:] != k[:-1]
     run = np.diff(np.append(np.flatnonzero(new), len(k)))
     mixed = order[np.repeat(run > 1, run)]  # a k-mer with one segment has nothing to compare
-    for a in _cuts(kmer[mixed], 60_000):
+    for a in _cuts(kmer[mixed], 3_000):
         some = mixed[a]
         who, length, new = suffix_groups(rows[some], size[some])
         at = np.flatnonzero(new)
