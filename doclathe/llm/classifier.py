@@ -77,7 +77,7 @@ class Words:
             vote(distinct > np.minimum(0.35, 8 / np.sqrt(n)), distinct < np.minimum(0.15, 3 / np.sqrt(n))),
             vote(repeats < 0.05, repeats > 0.2),
             vote(digits < 0.1, digits > 0.3),
-            vote(letters > 0.75, letters < 0.55),
+            vote(letters > 0.8, letters < 0.68),
             vote((top / n < 0.2) | (n < 20), (top / n > 0.4) & (n >= 10)),
         ], axis=1).astype(np.uint8)
 
