@@ -71,6 +71,11 @@ def tabs_to_spaces(c) -> Column:
     return F.translate(_col(c), "\t", " ")
 
 
+def let(c, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it (a column used n times is otherwise computed n times)."""
+    return F.get(F.transform(F.array(_col(c)), f), F.lit(0))
+
+
 def _each_line(c, f) -> Column:
     return F.array_join(F.transform(F.split(_col(c), "\n", -1), f), "\n")
 
@@ -82,7 +87,7 @@ def collapse_spaces(c, even_indent: bool = False) -> Column:
         lead = F.repeat(F.lit(" "), (F.floor(F.length(indent) / 2) * 2).cast("int")) if even_indent else indent
         return F.concat(lead, _sub(F.substr(x, F.length(indent) + 1), " {2,}", " "))
 
-    return F.when(F.contains(_col(c), F.lit("  ")) | F.lit(even_indent), _each_line(c, line)).otherwise(_col(c))
+    return let(c, lambda t: F.when(F.contains(t, F.lit("  ")) | F.lit(even_indent), _each_line(t, line)).otherwise(t))
 
 
 def trim_lines(c) -> Column:
@@ -97,12 +102,12 @@ def limit_blank_lines(c, most: int = 1) -> Column:
 
 def finalise(c) -> Column:
     body = _sub(_sub(c, r"\A(?:[ \t]*\n)+", ""), r"\n(?:[ \t]*\n)*[ \t]*\z", "")
-    return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
+    return _sub(F.concat(body, F.lit("\n")), r"\A\n\z", "")
 
 
 def unescape_markdown(c) -> Column:
     """Backslash escapes of ASCII punctuation, outside table rows."""
-    return F.when(F.contains(_col(c), F.lit("\\")), _sub(c, ESCAPE_PATTERN, "$1")).otherwise(_col(c))
+    return _sub(c, ESCAPE_PATTERN, "$1")
 
 
 def drop_media_lines(c) -> Column:
@@ -123,16 +128,19 @@ def is_block_start(line) -> Column:
 
 
 def is_table_row(line) -> Column:
-    t = F.trim(_col(line))
-    pipes = F.regexp_count(_sub(t, r"\\.", ""), F.lit(r"\|"))
-    return (F.length(t) >= 2) & F.startswith(t, F.lit("|")) & F.endswith(t, F.lit("|")) & (pipes >= 2)
+    def row(t):
+        pipes = F.regexp_count(_sub(t, r"\\.", ""), F.lit(r"\|"))
+        return (F.length(t) >= 2) & F.startswith(t, F.lit("|")) & F.endswith(t, F.lit("|")) & (pipes >= 2)
+
+    return let(F.trim(_col(line)), row)
 
 
 def clean_fast(c, most: int = 1) -> Column:
     """The balanced pipeline where nothing needs per-document state: no code, tables, media, wrapped lines or compatibility characters."""
     out = strip_invisible(line_breaks(strip_sentinels(c)))
     out = unescape_markdown(tabs_to_spaces(fold_punctuation(out)))
-    return finalise(limit_blank_lines(trim_lines(collapse_spaces(out)), most))
+    out = _sub(out, r"([^ \n]) {2,}", "$1 ")  # collapse_spaces where there are no tabs
+    return finalise(limit_blank_lines(trim_lines(out), most))
 
 
 def needs_state(c) -> Column:
