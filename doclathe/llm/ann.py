@@ -30,9 +30,9 @@ TOP = 20
 TREES = 12
 SAMPLE = 20_000
 #: Vectors in a leaf, about, as long as the sample allows.
-LEAF = 64
-#: Leaves that a query visits.
-VISITS = 160
+LEAF = 100
+#: Leaves that a query visits. What recall this gives depends on the data: README has figures.
+VISITS = 500
 EVERY = 20
 
 
@@ -143,12 +143,12 @@ def exact(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return out
 
 
-_PACK = "bucket int, side int, leaf binary, hash binary, vec binary, ids binary, n_ids binary"
+_PACK = "bucket int, side int, leaf binary, who binary, hash binary, vec binary, ids binary, n_ids binary"
 _PACK_NAMES = [c.split(" ")[0] for c in _PACK.split(", ")]
 
 
-def _packed(bucket: int, side: int, leaf, hashes, vec, ids, n_ids) -> pa.RecordBatch:
-    raw = [np.ascontiguousarray(a).tobytes() for a in (leaf, hashes, vec, ids, n_ids)]
+def _packed(bucket: int, side: int, leaf, who, hashes, vec, ids, n_ids) -> pa.RecordBatch:
+    raw = [np.ascontiguousarray(a).tobytes() for a in (leaf, who, hashes, vec, ids, n_ids)]
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([side], pa.int32()), *(pa.array([r], pa.binary()) for r in raw)], names=_PACK_NAMES)
 
 
@@ -170,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                 place = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 for b in np.unique(place):
                     k = place == b
-                    yield _packed(int(b), side, np.zeros(0), h[k], rows[k], ids[k], np.zeros(0))
+                    yield _packed(int(b), side, np.zeros(0), np.zeros(0), h[k], rows[k], ids[k], np.zeros(0))
         return run
 
     def merge(most: int | None):
@@ -222,43 +222,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             yield from _dealt(1, leaf, who, h, rows, np.zeros(0, np.int64), none, none, buckets)
 
     def rerank(table: pa.Table) -> pa.Table:
+        """Exact scores within the leaves of a bucket, and the best of each query, ties of the last one included."""
         sides = []
         for side in (0, 1):
             parts = [p for p in table.to_pylist() if p["side"] == side]
-            sides.append([np.concatenate([np.frombuffer(p[c], t) for p in parts] or [np.zeros(0, t)]) for c, t in (("leaf", np.int64), ("hash", np.int64), ("vec", np.float64), ("ids", np.int64), ("n_ids", np.int64))])
-        (leaf, ih, vec, ids, n_ids), (qleaf, qh, qvec, _, _) = sides
+            leaf, who, hashes, vec, ids, n_ids = ([np.frombuffer(p[c], t) for p in parts] for c, t in (("leaf", np.int64), ("who", np.int32), ("hash", np.int64), ("vec", np.float64), ("ids", np.int64), ("n_ids", np.int64)))
+            base = np.cumsum([0, *map(len, hashes)])
+            who = [w + b for w, b in zip(who, base)]
+            sides.append([np.concatenate(x) if x else np.zeros(0, t) for x, t in ((leaf, np.int64), (who, np.int64), (hashes, np.int64), (vec, np.float64), (ids, np.int64), (n_ids, np.int64))])
+        (leaf, item, ih, vec, ids, n_ids), (qleaf, ask, qh, qvec, _, _) = sides
         vec, qvec, first = vec.reshape(-1, dim), qvec.reshape(-1, dim), np.cumsum(n_ids) - n_ids
         order, qorder = np.argsort(leaf, kind="stable"), np.argsort(qleaf, kind="stable")
-        out: dict[int, dict] = {}
+        leaf, item, qleaf, ask = leaf[order], item[order], qleaf[qorder], ask[qorder]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for x in np.unique(qleaf):
-            mine = order[slice(*np.searchsorted(leaf[order], [x, x + 1]))]
-            asks = qorder[slice(*np.searchsorted(qleaf[qorder], [x, x + 1]))]
-            if not len(mine):
-                continue
-            for a in range(0, len(asks), 256):
+            mine = item[slice(*np.searchsorted(leaf, [x, x + 1]))]
+            asks = ask[slice(*np.searchsorted(qleaf, [x, x + 1]))]
+            for a in range(0, len(asks) if len(mine) else 0, 256):
                 some = asks[a : a + 256]
                 scores = exact(vec[mine], qvec[some])
-                keep = min(top + 1, len(mine))
-                for j, q in enumerate(some):
-                    s = scores[:, j]
-                    edge = np.partition(s, len(s) - keep)[len(s) - keep]
-                    got = out.setdefault(int(qh[q]), {})
-                    for i in np.flatnonzero(s >= edge):  # ties of the last one included
-                        m = mine[i]
-                        got[int(ih[m])] = (float(s[i]), ids[first[m] : first[m] + n_ids[m]])
-        rows = [(q, *_best([(s, i) for s, found in got.values() for i in found.tolist()], top + 1)) for q, got in out.items()]
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["hash", "ids", "scores"])
+                if len(mine) > top + 1:
+                    edge = np.partition(scores, len(mine) - top - 1, axis=0)[len(mine) - top - 1]
+                    i, j = np.nonzero(scores >= edge)
+                else:
+                    i, j = (g.ravel() for g in np.indices(scores.shape))
+                found.append((some[j], mine[i], scores[i, j]))
+        q, i, score = (np.concatenate(x) for x in zip(*found))
+        # a query or an entry may have come in several packs: hashes name them
+        q, score = qh[q], score
+        _, one = np.unique(np.stack([q, ih[i]], axis=1), axis=0, return_index=True) if len(q) else (None, np.zeros(0, np.int64))
+        q, i, score = q[one], i[one], score[one]
+        n = n_ids[i]
+        listed = ids[np.repeat(first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return _ranked(np.repeat(q, n), listed, np.repeat(score, n), top + 1, ["hash", "ids", "scores"])
 
     dealt = items.mapInArrow(file_items, _PACK).unionByName(asked.mapInArrow(file_queries, _PACK))
     part = dealt.groupBy("bucket").applyInArrow(rerank, "hash long, ids array<long>, scores array<double>")
     pairs = part.select(F.col("hash").alias("q"), F.pmod("hash", F.lit(buckets)).cast("int").alias("bucket"), "ids", "scores")
 
     def combine(table: pa.Table) -> pa.Table:
-        got: dict[int, dict] = {}
-        for q, ids, scores in zip(table.column("q").to_pylist(), table.column("ids").to_pylist(), table.column("scores").to_pylist(), strict=True):
-            got.setdefault(q, {}).update(zip(ids, scores))
-        rows = [(q, *_best([(s, i) for i, s in found.items()], top + 1)) for q, found in got.items()]
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["q", "found", "scores"])
+        lists = table.column("ids").combine_chunks()
+        q = np.repeat(np.asarray(table.column("q"), np.int64), np.asarray(lists.value_lengths(), np.int64))
+        ids, scores = np.asarray(lists.flatten(), np.int64), np.asarray(table.column("scores").combine_chunks().flatten(), np.float64)
+        _, one = np.unique(np.stack([q, ids], axis=1), axis=0, return_index=True) if len(q) else (None, np.zeros(0, np.int64))
+        return _ranked(q[one], ids[one], scores[one], top + 1, ["q", "found", "scores"])
 
     best = pairs.groupBy("bucket").applyInArrow(combine, "q long, found array<long>, scores array<double>")
     each = asked.select(F.col("hash").alias("h"), F.explode("ids").alias("query_id")).distinct().join(best, F.col("h") == F.col("q"))
@@ -267,9 +274,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     return rows.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.found").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
-def _best(pairs: list[tuple[float, int]], most: int) -> tuple[list[int], list[float]]:
-    pairs = sorted(pairs, key=lambda p: (-p[0], p[1]))[:most]
-    return [i for _, i in pairs], [s for s, _ in pairs]
+def _ranked(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int, names: list[str]) -> pa.Table:
+    """A row per query with its best ids and scores: larger scores first, then smaller ids."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    start = np.flatnonzero(new)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    keep = place < most
+    sizes = np.bincount(np.cumsum(new)[keep] - 1, minlength=len(start)) if len(q) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (ids.astype(np.int64), scores.astype(np.float64))]
+    return pa.Table.from_arrays([pa.array(q[start], pa.int64()), *lists], names=names)
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -300,10 +317,13 @@ def _query_lists(dim: int):
 
 
 def _dealt(side, leaf, who, h, rows, ids, n, first, buckets):
-    """One packed row for each bucket of leaves."""
+    """One packed row for each bucket of leaves; a vector that has several leaves there is sent once."""
     place = leaf % buckets
-    for b in np.unique(place):
-        k = np.flatnonzero(place == b)
-        w = who[k]
-        listed = np.concatenate([ids[first[i] : first[i] + n[i]] for i in w]) if len(ids) else np.zeros(0, np.int64)
-        yield _packed(int(b), side, leaf[k], h[w], rows[w], listed, n[w])
+    order = np.argsort(place, kind="stable")
+    at = np.searchsorted(place[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        k = order[at[b] : at[b + 1]]
+        if len(k):
+            used, which = np.unique(who[k], return_inverse=True)
+            listed = np.concatenate([ids[first[i] : first[i] + n[i]] for i in used]) if len(ids) else np.zeros(0, np.int64)
+            yield _packed(int(b), side, leaf[k], which.astype(np.int32), h[used], rows[used], listed, n[used])
