@@ -253,3 +253,20 @@ _add("looks_like_transcript", lambda spark, d: _transcripts(spark, d).select("co
 _add("utterances", lambda spark, d: udfs.utterances(_transcripts(spark, d), "conv_id", "text"))
 _add("detect_format", lambda spark, d: _plain(spark, d, "pages").select("page_id", expr.detect_format(F.encode("html", "UTF-8"), F.lit(None).cast("string")).alias("format")), f"SELECT page_id, CASE WHEN contains(substr(html, 1, 1024), '%PDF') THEN 'pdf' WHEN regexp_matches(substr(html, 1, 4096), '(?i)\\A\\s*<(?:!doctype\\s+html|html|head|body)\\b') OR len(regexp_extract_all(substr(html, 1, 4096), {_q(expr.TAG_PATTERN)})) >= 2 THEN 'html' ELSE 'text' END AS format FROM pages")
 _add("extract", lambda spark, d: _plain(spark, d, "pages").select("page_id", udfs.extract(F.encode("html", "UTF-8"), F.lit("page.html")).alias("d")).select("page_id", "d.format", "d.text", "d.error"))
+
+
+# documents laid out as pages of positioned words: a line every 12 points, 40 lines a page, with a footer
+from ..operators import pages as _pages  # noqa: E402
+
+
+def _positioned(spark, d):
+    lines = _plain(spark, d).select("doc_id", F.posexplode(F.split("text", r"(?<=[.]) ")).alias("n", "text")).withColumn("page", F.floor(F.col("n") / 40).cast("int") + 1)
+    body = lines.select("doc_id", "page", "text", F.lit(72.0).alias("x"), (700 - (F.col("n") % 40) * 12).cast("double").alias("y"))
+    foot = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.concat(F.lit("Page "), F.col("page"), F.lit(" of 9")).alias("text"), F.lit(280.0).alias("x"), F.lit(30.0).alias("y"))
+    return body.unionByName(foot).select("*", (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.lit(792.0).alias("page_height"))
+
+
+_add("page_lines", lambda spark, d: _pages.page_lines(_positioned(spark, d)))
+_add("page_texts", lambda spark, d: _pages.page_texts(_pages.suppress_running_text(_pages.page_lines(_positioned(spark, d)))))
+_POSITIONED = r"""(SELECT doc_id, n // 40 + 1 AS page, 700 - (n % 40) * 12.0::DOUBLE AS y, text FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS text, unnest(range(0, len(string_split(text, '. ')))) AS n FROM documents))"""
+_add("running_text", lambda spark, d: _pages.suppress_running_text(_positioned(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")), f"WITH p AS (SELECT doc_id, count(*) AS n, max(page) AS k FROM {_POSITIONED} GROUP BY 1) SELECT doc_id, n + CASE WHEN k >= 4 THEN 1 ELSE k END AS lines FROM p")
