@@ -2,7 +2,7 @@
 
 Only DataFrame functions. Texts are read once: (id, source, size, key) is what is kept and sorted.
 A source is never gathered in one task: sizes are summed by (source, slice of the key range), the slice
-in which the budget ends is found from those sums, and only that slice is sorted.
+in which the budget ends is found from those sums, cut into slices again, and only one of these is sorted.
 
 Defined results: null text has size 0 and is never repeated; a null source is a source of its own, last
 in order; no rows give no rows; rows that repeat (same id and text) count each; extra columns are ignored
@@ -20,8 +20,10 @@ from .common import WORD, own_columns, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most so many times its source's size.
 MOST_EPOCHS = 3
-#: Slices of the key range; a sorted group has about a 4096th of its source's rows.
-SLICES = 4096
+#: Slices of the key range, twice over: a sorted group has about a 65,536th of its source's rows.
+SLICES = 256
+#: What is known of so many sources (about 60 bytes each) is broadcast to their rows; of more, it is joined by shuffle.
+FEW_SOURCES = 200_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -69,23 +71,39 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
     sized = written(_sized(docs), "mix-sizes")
     goal = targets(sized).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goal = goal.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    slices = sized.withColumn("slice", F.floor(F.col("draw") * SLICES).cast("int"))
-    sums = slices.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("slice")
-    sums = sums.withColumn("upto", F.sum("words").over(upto))
-    named = goal.withColumnRenamed("source", "of")
-    # the first slice at whose end the rest is used up: only it is sorted
-    ends = sums.join(named, sums.source.eqNullSafe(named.of)).groupBy("of", "source_size", "target", "epochs", "left").agg(
-        F.min(F.when(F.col("upto") >= F.col("left"), F.struct("slice", (F.col("upto") - F.col("words")).alias("before")))).alias("edge")
-    )
-    ends = ends.withColumn("edge_slice", F.coalesce(F.col("edge.slice"), F.lit(SLICES))).withColumn("before", F.coalesce(F.col("edge.before"), F.lit(0)))
-    rows = slices.join(ends, slices.source.eqNullSafe(ends.of)).drop("of", "edge")
     own = ["doc_id", "text_hash", "size", "source_size", "target"]
-    outside = rows.where("slice != edge_slice").select(*own, (F.col("size") * (F.col("epochs") + (F.col("slice") < F.col("edge_slice")).cast("long"))).alias("taken"))
+    goal = written(goal, "mix-targets")
+    few = goal.count() <= FEW_SOURCES
+    rows = _beside(sized, goal.withColumn("before", F.lit(0).cast("long")), few)
+    outside = []
+    for scale in (SLICES, SLICES * SLICES):
+        rows = rows.withColumn("slice", F.floor(F.col("draw") * scale).cast("int"))
+        rows = _beside(rows.drop("source_size", "target", "epochs", "left", "before"), _edges(rows), few)
+        taken = F.col("epochs") + (F.col("slice") < F.col("edge_slice")).cast("long")
+        outside.append(rows.where("slice != edge_slice").select(*own, (F.col("size") * taken).alias("taken")))
+        rows = rows.where("slice = edge_slice").drop("slice", "edge_slice")
     run = Window.partitionBy("source").orderBy("draw", "doc_id", "text_hash")
     middle = F.col("before") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2.0
-    inside = rows.where("slice = edge_slice").withColumn("middle", middle).select(*own, (F.col("size") * (F.col("epochs") + (F.col("middle") <= F.col("left")).cast("long"))).alias("taken"))
-    return outside.unionByName(inside)
+    inside = rows.withColumn("middle", middle).select(*own, (F.col("size") * (F.col("epochs") + (F.col("middle") <= F.col("left")).cast("long"))).alias("taken"))
+    return outside[0].unionByName(outside[1]).unionByName(inside)
+
+
+def _beside(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """Each row with what is known of its source (null being one). With few sources rows stay where they are, however many are of one source."""
+    named = sources.withColumnRenamed("source", "_of")
+    named = F.broadcast(named) if few else named
+    return rows.join(named, rows["source"].eqNullSafe(named["_of"])).drop("_of")
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """For each source the first slice at whose end the rest of its target is used up (past the last one, if none is),
+    and the words before it."""
+    sums = rows.groupBy("source", "source_size", "target", "epochs", "left", "before", "slice").agg(F.sum("size").alias("words"))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("slice"))
+    sums = sums.withColumn("upto", upto)
+    found = F.min(F.when(F.col("upto") >= F.col("left"), F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))))
+    ends = sums.groupBy("source", "source_size", "target", "epochs", "left").agg(found.alias("edge"))
+    return ends.select("source", "source_size", "target", "epochs", "left", F.coalesce("edge.slice", F.lit(1 << 30)).alias("edge_slice"), F.coalesce("edge.before", F.lit(0)).cast("long").alias("before"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
