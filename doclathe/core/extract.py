@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from . import clean as cleaning
 from . import html_text, rtf
+from .options import Extract
 
 # fixed values
 EXTENSIONS = {"docx": "docx", "pptx": "pptx", "ppsx": "pptx", "potx": "pptx", "pdf": "pdf", "rtf": "rtf", "html": "html", "htm": "html", "xhtml": "html", "md": "markdown", "markdown": "markdown", "mdown": "markdown", "mkd": "markdown"}
-MOST_INPUT_BYTES = 100_000_000
+NOUNS = {"pdf": "Page", "pptx": "Slide"}
 OLE2 = bytes.fromhex("d0cf11e0a1b11ae1")
 OLE2_STREAMS = {"PowerPoint Document": "ppt", "Workbook": "xls", "WordDocument": "doc"}
 ZIP_MARKERS = {b"xl/workbook.xml": "xlsx", b"Index/Document.iwa": "key", b"opendocument.presentation": "odp", b"opendocument.text": "odt"}
@@ -25,6 +26,7 @@ class Document:
     text: str | None = None
     warnings: list[str] = field(default_factory=list)
     error: str | None = None
+    sections: list[tuple[int, str | None, str]] = field(default_factory=list)
 
 
 def looks_like_html(sample: str) -> bool:
@@ -70,21 +72,25 @@ def binary_kind(content: bytes) -> str | None:
     return None
 
 
-def extract(content: bytes | None, name: str = "", most: int = MOST_INPUT_BYTES) -> Document:
+def extract(content: bytes | None, name: str = "", options: Extract | None = None) -> Document:
+    options = options or Extract()
     if content is None:
         return Document("text", error="no content")
     kind = detect(content, name)
-    if len(content) > most:
-        return Document(kind, error=f"oversized: {len(content)} bytes, the limit is {most}")
-    if kind in ("docx", "pptx"):
-        from . import office
+    if len(content) > options.most_bytes:
+        return Document(kind, error=f"oversized: {len(content)} bytes, the limit is {options.most_bytes}")
+    if kind in ("docx", "pptx", "pdf"):
+        from . import office, pdf
 
         try:
-            return Document(kind, *getattr(office, kind)(content))
-        except office.Unreadable as e:
-            return Document(kind, error=str(e))
-    if kind == "pdf":
-        return Document(kind, error="pdf: no reader for page content; lay out positioned items instead")
+            if kind == "docx":
+                return Document(kind, *office.docx(content))
+            sections, warnings = pdf.document(content, options) if kind == "pdf" else office.pptx_slides(content, options)
+        except (office.Unreadable, pdf.Unreadable) as e:
+            return Document(kind, error=f"pdf: {e}" if kind == "pdf" else str(e))
+        except (ArithmeticError, AttributeError, LookupError, RecursionError, TypeError, ValueError) as e:  # a part of another shape than the format's
+            return Document(kind, error=f"{kind}: broken structure: {type(e).__name__}: {e}")
+        return Document(kind, "\n\n".join(text for _, _, text in sections if text), warnings, None, sections)
     other = binary_kind(content)
     if other:
         return Document(kind, error=f"{other}: convert it first")
@@ -111,3 +117,10 @@ def clean_sections(sections: list[tuple[int, str | None, str]], options=None, no
             stats.append({"index": number, "label": label, "chars": len(text) + sum(c > "￿" for c in text) + bool(parts)})
             parts.append(text)
     return "\n".join(parts), stats
+
+
+def clean_document(document: Document, options=None, headings: bool = False) -> tuple[str, list[dict]]:
+    """A document's text cleaned, by its sections where it has some, and their shares."""
+    if document.sections:
+        return clean_sections(document.sections, options, NOUNS.get(document.format, "Section"), headings)
+    return cleaning.clean(document.text or "", options), []

@@ -47,6 +47,7 @@ BASE64_LINE = r"^[ \t]*[A-Za-z0-9+/=]{200,}[ \t]*$"
 IMAGE_REF_LINE = rf"(?i)^[ \t]{{0,3}}\[[^\]]+\]:[ \t]*(?:data:\S*|\S+\.(?:{IMAGE_EXTENSIONS}))(?:[ \t]+[\"'(].*)?[ \t]*$"
 HEADING_LINE = r"^[ \t]{0,3}#{1,6}(?:[ \t]|$)"
 BLOCK_START = r"^(?: {4,}|\t)|^ {0,3}(?:#{1,6}(?:[ \t]|$)|>|\||[-*+][ \t]|[0-9]+[.)][ \t]|`{3,}|~{3,}|<!|</?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))"
+MOST_INPUT_BYTES, MOST_PAGES = 100_000_000, 500
 # end of fixed values
 
 

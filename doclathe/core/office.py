@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import posixpath
 import re
 import zipfile
 import zlib
+from dataclasses import dataclass, field
 from xml.parsers import expat
 
+from . import graphics
 from . import markdown as md
+from .html_text import meaningful_alt
+from .options import Extract
 
 # fixed values
 MOST_INFLATED, MOST_ENTRY, SLIDE = 200_000_000, 50_000_000, (9_144_000, 6_858_000)
@@ -20,7 +25,11 @@ SPACES = {
     "http://schemas.openxmlformats.org/officeDocument/2006/relationships": "r", "http://purl.oclc.org/ooxml/officeDocument/relationships": "r",
     "http://schemas.openxmlformats.org/package/2006/relationships": "rel",
     "http://schemas.openxmlformats.org/markup-compatibility/2006": "mc",
+    "http://schemas.openxmlformats.org/drawingml/2006/chart": "c", "http://purl.oclc.org/ooxml/drawingml/chart": "c",
+    "http://schemas.openxmlformats.org/drawingml/2006/diagram": "dgm", "http://purl.oclc.org/ooxml/drawingml/diagram": "dgm",
 }
+BODY_HOLDERS = ("body", "subTitle", "obj", "tbl", "chart", "clipArt", "dgm", "media", "pic")
+CHROME_FIELD, DEEPEST_LEVEL = r"(?i)slidenum|datetime[0-9]*|ftr|hdr", 8
 # end of fixed values
 
 
@@ -191,13 +200,9 @@ def _word_text(p: Tag, images: list[int]) -> str:
 # PowerPoint
 
 
-def pptx(content: bytes) -> tuple[str, list[str]]:
-    slides, warnings = pptx_slides(content)
-    return "\n\n".join(text for _, _, text in slides if text), warnings
-
-
-def pptx_slides(content: bytes, hidden: bool = False) -> tuple[list[tuple[int, str | None, str]], list[str]]:
+def pptx_slides(content: bytes, options: Extract | None = None) -> tuple[list[tuple[int, str | None, str]], list[str]]:
     """(number, title, text) of each slide in show order, and warnings."""
+    options = options or Extract()
     package = Package(content)
     deck = package.xml("ppt/presentation.xml")
     if deck is None:
@@ -206,78 +211,197 @@ def pptx_slides(content: bytes, hidden: bool = False) -> tuple[list[tuple[int, s
     size = deck.first("p:sldSz")
     canvas = (int(size.attrs.get("cx", SLIDE[0])), int(size.attrs.get("cy", SLIDE[1]))) if size else SLIDE
     listed = deck.first("p:sldIdLst")
+    refs = listed.kids if listed else []
+    chosen, left_out = options.select(len(refs))
+    notes = Notes()
+    styles: dict[str, Inherited] = {}
     out, skipped = [], 0
-    for number, ref in enumerate(listed.kids if listed else (), 1):
-        part = links.get(ref.attrs.get("r:id", ""), ("", ""))[1]
+    for number in chosen:
+        part = links.get(refs[number - 1].attrs.get("r:id", ""), ("", ""))[1]
         slide = package.xml(part) if part else None
         if slide is None:
             continue
-        if slide.attrs.get("show") in ("0", "false") and not hidden:
+        if slide.attrs.get("show") in ("0", "false") and not options.hidden_content:
             skipped += 1
             continue
         tree = slide.first("p:cSld", "p:spTree")
-        title, text = _slide(tree, canvas) if tree else (None, "")
+        reading = Reading(package, package.links(part), _inherited(package, part, styles), canvas, options, notes)
+        title, text = reading.slide(tree) if tree else (None, "")
         out.append((number, title, text))
-    return out, [f"{skipped} hidden slides skipped"] if skipped else []
-
-
-def _slide(tree: Tag, canvas: tuple[int, int]) -> tuple[str | None, str]:
-    found: list[tuple] = []
-    _collect(tree, (1.0, 1.0, 0.0, 0.0), canvas, found)
-    # title, subtitle and body first; then from top to bottom and left to right, what has no place in paint order
-    found.sort(key=lambda f: (f[0], f[1] if f[1] is not None else (float("inf"), 0), f[2]))
-    title = next((re.sub(r"\s+", " ", text) for rank, _, _, text in found if rank == 0 and text), None)
-    return title, "\n\n".join(f"# {text}" if rank == 0 else text for rank, _, _, text in found if text)
-
-
-def _collect(tree: Tag, scale: tuple, canvas: tuple[int, int], found: list) -> None:
-    sx, sy, dx, dy = scale
-    for k in tree.kids:
-        box = k.first("p:spPr", "a:xfrm") or k.first("p:xfrm") or k.first("p:grpSpPr", "a:xfrm")
-        off, ext = (box.first("a:off"), box.first("a:ext")) if box else (None, None)
-        place = (int(off.attrs.get("y", 0)) * sy + dy, int(off.attrs.get("x", 0)) * sx + dx) if off else None
-        if place and ext:
-            w, h = int(ext.attrs.get("cx", 0)) * sx, int(ext.attrs.get("cy", 0)) * sy
-            if place[1] + w < 0 or place[0] + h < 0 or place[1] > canvas[0] or place[0] > canvas[1]:
-                continue
-        if k.name == "p:grpSp":
-            inner = scale
-            co, ce = (box.first("a:chOff"), box.first("a:chExt")) if box else (None, None)
-            if off and ext and co and ce and int(ce.attrs.get("cx", 0)) and int(ce.attrs.get("cy", 0)):
-                gx, gy = int(ext.attrs["cx"]) / int(ce.attrs["cx"]) * sx, int(ext.attrs["cy"]) / int(ce.attrs["cy"]) * sy
-                inner = (gx, gy, place[1] - int(co.attrs.get("x", 0)) * gx, place[0] - int(co.attrs.get("y", 0)) * gy)
-            _collect(k, inner, canvas, found)
-        elif k.name == "p:sp":
-            holder = k.first("p:nvSpPr", "p:nvPr", "p:ph")
-            kind = holder.attrs.get("type", "body") if holder else ""
-            if kind in ("dt", "ftr", "sldNum", "hdr"):
+    told = [
+        (notes.images, f"{notes.images} images dropped, {notes.captions} of them captioned"), (notes.merged, f"{notes.merged} merged cells flattened"), *((1, x) for x in notes.charts),
+        (skipped, f"{skipped} hidden slides skipped"), (left_out, f"{left_out} slides past the limit not read"), (out and not any(text.strip() for _, _, text in out), f"{len(out)} slides read, but no text found"),
+    ]
+    return out, [text for n, text in told if n]
+
+
+@dataclass
+class Notes:
+    images: int = 0
+    captions: int = 0
+    merged: int = 0
+    charts: dict[str, None] = field(default_factory=dict)
+
+
+@dataclass
+class Inherited:
+    """What placeholders take from their layout, and the master's list styles by kind."""
+
+    types: dict[str, str] = field(default_factory=dict)
+    by_index: dict[str, Tag] = field(default_factory=dict)
+    by_type: dict[str, Tag] = field(default_factory=dict)
+    master: dict[str, Tag] = field(default_factory=dict)
+
+
+def _holder(shape: Tag) -> Tag | None:
+    return next((ph for kind in ("p:nvSpPr", "p:nvPicPr", "p:nvGraphicFramePr") if (ph := shape.first(kind, "p:nvPr", "p:ph"))), None)
+
+
+def _inherited(package: Package, slide_part: str, known: dict[str, Inherited]) -> Inherited:
+    part = next((p for kind, p in package.links(slide_part).values() if kind == "slideLayout"), "")
+    if part not in known:
+        found = known[part] = Inherited()
+        layout = package.xml(part) if part else None
+        tree = layout.first("p:cSld", "p:spTree") if layout else None
+        for shape in tree.each("p:sp") if tree else ():
+            if (ph := _holder(shape)) is None:
                 continue
+            index, kind, style = ph.attrs.get("idx"), ph.attrs.get("type"), shape.first("p:txBody", "a:lstStyle")
+            if index is not None and kind is not None:
+                found.types[index] = kind
+            if style and index is not None:
+                found.by_index[index] = style
+            if style and kind is not None:
+                found.by_type[kind] = style
+        above = next((p for kind, p in package.links(part).values() if kind == "slideMaster"), "") if part else ""
+        master = package.xml(above) if above else None
+        for kind in ("title", "body", "other"):
+            if style := master.first("p:txStyles", f"p:{kind}Style") if master else None:
+                found.master[kind] = style
+    return known[part]
+
+
+def _is_item(own: Tag | None, styles: list[Tag | None], level: int) -> bool:
+    """Whether a paragraph has a bullet: what is nearest to it and says something decides."""
+    for says in [own, *(s.first(f"a:lvl{level + 1}pPr") for s in styles if s)]:
+        if says and says.first("a:buNone"):
+            return False
+        if says and (says.first("a:buChar") or says.first("a:buAutoNum")):
+            return True
+    return False
+
+
+@dataclass
+class Reading:
+    """One slide being read."""
+
+    package: Package
+    links: dict[str, tuple[str, str]]
+    inherited: Inherited
+    canvas: tuple[int, int]
+    options: Extract
+    notes: Notes
+
+    def slide(self, tree: Tag) -> tuple[str | None, str]:
+        found: list[tuple] = []
+        self.collect(tree, (1.0, 1.0, 0.0, 0.0), found)
+        # title, then subtitle and body; then from top to bottom and left to right; paint order for what has no place
+        found.sort(key=functools.cmp_to_key(_before))
+        title = next((re.sub(r"\s+", " ", text) for rank, _, _, text in found if rank == 0 and text), None)
+        return title, "\n\n".join(f"# {text}" if rank == 0 else text for rank, _, _, text in found if text)
+
+    def kind(self, ph: Tag | None) -> str:
+        if ph is None:
+            return ""
+        return ph.attrs.get("type") or self.inherited.types.get(ph.attrs.get("idx", ""), "body")
+
+    def collect(self, tree: Tag, scale: tuple, found: list) -> None:
+        sx, sy, dx, dy = scale
+        for k in tree.kids:
+            box = k.first("p:spPr", "a:xfrm") or k.first("p:xfrm") or k.first("p:grpSpPr", "a:xfrm")
+            off, ext = (box.first("a:off"), box.first("a:ext")) if box else (None, None)
+            place = (_int(off, "y") * sy + dy, _int(off, "x") * sx + dx) if off else None
+            if place and ext and not self.options.hidden_content:
+                w, h = _int(ext, "cx") * sx, _int(ext, "cy") * sy
+                if place[1] + w < 0 or place[0] + h < 0 or place[1] > self.canvas[0] or place[0] > self.canvas[1]:
+                    continue
+            kind = self.kind(_holder(k))
             rank = 0 if kind in ("title", "ctrTitle") else 1 if kind in ("subTitle", "body") else 2
-            body = k.first("p:txBody")
-            found.append((rank, place, len(found), _slide_text(body, kind == "body") if body else ""))
-        elif k.name == "p:graphicFrame":
-            table = next(k.all("a:tbl"), None)
-            if table is not None:
-                rows = []
-                for tr in table.each("a:tr"):
-                    row: list[str] = []
-                    for n, tc in enumerate(tr.each("a:tc")):
-                        text = re.sub(r"\s+", " ", _slide_text(tc.first("a:txBody"), False)) if tc.first("a:txBody") else ""
-                        left, above = tc.attrs.get("hMerge") in ("1", "true"), tc.attrs.get("vMerge") in ("1", "true")
-                        row.append(row[-1] if left and row else rows[-1][n] if above and rows and n < len(rows[-1]) else text)
-                    rows.append(row)
-                found.append((2, place, len(found), md.render_table(rows) or "\n".join(" ".join(r) for r in rows)))
-
-
-def _slide_text(body: Tag, listed: bool) -> str:
+            if k.name == "p:grpSp":
+                inner = scale
+                co, ce = (box.first("a:chOff"), box.first("a:chExt")) if box else (None, None)
+                if off and ext and co and ce and _int(ce, "cx") and _int(ce, "cy"):
+                    gx, gy = _int(ext, "cx") / _int(ce, "cx") * sx, _int(ext, "cy") / _int(ce, "cy") * sy
+                    inner = (gx, gy, place[1] - _int(co, "x") * gx, place[0] - _int(co, "y") * gy)
+                self.collect(k, inner, found)
+            elif k.name == "p:sp" and kind not in ("dt", "ftr", "sldNum", "hdr"):
+                body = k.first("p:txBody")
+                found.append((rank, place, len(found), _slide_text(body, self.styles(k, kind)) if body else ""))
+            elif k.name == "p:pic":
+                self.notes.images += 1
+                about = next(k.all("p:cNvPr"), None)
+                caption = meaningful_alt(about.attrs.get("descr") or about.attrs.get("title")) if about else None
+                self.notes.captions += bool(caption)
+                found.append((rank, place, len(found), f"[image: {caption}]" if caption else ""))
+            elif k.name == "p:graphicFrame":
+                found.append((rank, place, len(found), self.frame(k)))
+
+    def styles(self, shape: Tag, kind: str) -> list[Tag | None]:
+        own, ph, by = shape.first("p:txBody", "a:lstStyle"), _holder(shape), self.inherited
+        if ph is None:
+            return [own, by.master.get("other")]
+        role = "title" if kind in ("title", "ctrTitle") else "body" if kind in BODY_HOLDERS else "other"
+        return [own, by.by_index.get(ph.attrs.get("idx", "")) or by.by_type.get(kind), by.master.get(role)]
+
+    def part(self, tag: Tag | None, attribute: str) -> Tag | None:
+        name = self.links.get(tag.attrs.get(attribute, ""), ("", ""))[1] if tag else ""
+        return self.package.xml(name) if name else None
+
+    def frame(self, frame: Tag) -> str:
+        """A table, or else a chart, or else a diagram; the last two are parts of their own."""
+        if table := next(frame.all("a:tbl"), None):
+            return self.table(table)
+        if chart := self.part(next(frame.all("c:chart"), None), "r:id"):
+            text, told = graphics.chart_text(chart, self.options.chart_data)
+            self.notes.charts |= dict.fromkeys(told)
+            return text
+        diagram = self.part(next(frame.all("dgm:relIds"), None), "r:dm") if self.options.diagram_text else None
+        return graphics.diagram_text(diagram) if diagram else ""
+
+    def table(self, table: Tag) -> str:
+        rows = []
+        for tr in table.each("a:tr"):
+            row: list[str] = []
+            for n, tc in enumerate(tr.each("a:tc")):
+                self.notes.merged += max(_int(tc, "gridSpan"), _int(tc, "rowSpan")) > 1
+                text = re.sub(r"\s+", " ", _slide_text(tc.first("a:txBody"), [])) if tc.first("a:txBody") else ""
+                left, above = tc.attrs.get("hMerge") in ("1", "true"), tc.attrs.get("vMerge") in ("1", "true")
+                row.append(row[-1] if left and row else rows[-1][n] if above and rows and n < len(rows[-1]) else text)
+            rows.append(row)
+        return md.render_table(rows) or "\n".join(" ".join(r) for r in rows)
+
+
+def _int(tag: Tag, name: str) -> int:
+    try:
+        return int(tag.attrs.get(name, 0))
+    except ValueError:
+        return 0
+
+
+def _before(a: tuple, b: tuple) -> int:
+    if a[0] != b[0] or a[1] is None or b[1] is None:
+        return a[0] - b[0] or a[2] - b[2]
+    return -1 if (a[1], a[2]) < (b[1], b[2]) else 1
+
+
+def _slide_text(body: Tag, styles: list[Tag | None]) -> str:
     lines = []
     for p in body.each("a:p"):
-        text = "".join("\n" if r.name == "a:br" else (r.first("a:t").text if r.first("a:t") else "") for r in p.each("a:r", "a:fld", "a:br"))
+        runs = [r for r in p.each("a:r", "a:fld", "a:br") if r.name != "a:fld" or not re.fullmatch(CHROME_FIELD, r.attrs.get("type", ""))]
+        text = "".join("\n" if r.name == "a:br" else (r.first("a:t").text if r.first("a:t") else "") for r in runs)
         if not text.strip():
             continue
-        style = p.first("a:pPr")
-        level = int(style.attrs.get("lvl", 0)) if style else 0
-        plain = style is not None and style.first("a:buNone") is not None
-        bullet = style is not None and (style.first("a:buChar") is not None or style.first("a:buAutoNum") is not None) or listed and not plain
-        lines.append("  " * level + ("- " if bullet else "") + text.strip())
+        own = p.first("a:pPr")
+        level = max(0, min(DEEPEST_LEVEL, _int(own, "lvl"))) if own else 0
+        lines.append("  " * level + ("- " if _is_item(own, styles, level) else "") + text.strip())
     return "\n".join(lines)

@@ -39,6 +39,27 @@ def preset(name: str = "balanced", **explicit) -> Clean:
     return Clean(**chosen | {k: v for k, v in explicit.items() if v is not None})
 
 
+@dataclass(frozen=True)
+class Extract:
+    """How documents are read: by default what can be seen, once, in careful order."""
+
+    pages: tuple[tuple[int, int], ...] = ()
+    section_headings: bool = False
+    drop_running_headers: bool = True
+    dehyphenate: bool = False
+    preserve_tables: bool = True
+    chart_data: bool = False
+    diagram_text: bool = True
+    hidden_content: bool = False
+    most_bytes: int = fixed.MOST_INPUT_BYTES
+    most_pages: int = fixed.MOST_PAGES
+
+    def select(self, total: int) -> tuple[list[int], int]:
+        """The numbers of the pages or slides to read, and how many the limit leaves out."""
+        chosen = [n for n in range(1, total + 1) if not self.pages or any(a <= n <= b for a, b in self.pages)]
+        return chosen[: self.most_pages], max(0, len(chosen) - self.most_pages)
+
+
 def parse_ranges(spec: str) -> list[tuple[int, int]]:
     """'3-7,12' as spans; ValueError for anything that isn't a page or an ascending span from 1."""
     out = []

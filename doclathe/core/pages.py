@@ -13,6 +13,7 @@ from .clean import _INVISIBLE
 SAME_BASELINE, PARAGRAPH_GAP, SHORT_LINE, INDENT, TIGHT, OVERLAP = 0.5, 1.2, 0.12, 6, 0.3, 1
 GUTTER, CLEAR_SHARE, COLUMN_LINES, COLUMN_CHARS, MARGIN_SHARE = 18, 0.8, 3, 20, 0.12
 SENTENCE_END = r"[.!?…][)\]\"'’”]?\Z"
+RUNNING_SHARE, RUNNING_PAGES = 0.6, 4
 COUNTER = r"\bpage\s+[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?|\b[0-9]+\s*(?:of|/)\s*[0-9]+\b"
 COUNTER_ALONE = r"[\[(]?[-–—]?\s*[0-9]+\s*[-–—]?[)\]]?"
 # end of fixed values
@@ -130,3 +131,18 @@ def running_key(y: float, text: str) -> str:
     text = re.sub(r"\s+", " ", text).strip()
     words = "#" if re.fullmatch(COUNTER_ALONE, text) else re.sub(COUNTER, "#", text, flags=re.I)
     return f"{math.floor(y / 3 + 0.5)}|{words}"
+
+
+def suppress_running(pages: list[tuple[float, list[Line]]]) -> tuple[list[list[Line]], int]:
+    """The lines of (height, lines) pages without headers and footers seen before, and how many went."""
+    def edge(height: float, line: Line) -> bool:
+        return line.y <= height * MARGIN_SHARE or line.y >= height * (1 - MARGIN_SHARE)
+
+    on: dict[str, set[int]] = {}
+    for n, (height, lines) in enumerate(pages):
+        for x in lines:
+            if edge(height, x):
+                on.setdefault(running_key(x.y, x.text), set()).add(n)
+    running = {k: min(seen) for k, seen in on.items() if len(pages) >= RUNNING_PAGES and len(seen) >= RUNNING_SHARE * len(pages)}
+    out = [[x for x in lines if not edge(height, x) or running.get(running_key(x.y, x.text), n) == n] for n, (height, lines) in enumerate(pages)]
+    return out, sum(len(lines) for _, lines in pages) - sum(map(len, out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.extract import MOST_INPUT_BYTES
+from ..core.fixed import MOST_INPUT_BYTES
 from ..functions import udfs
 
 

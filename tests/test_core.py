@@ -111,10 +111,58 @@ def test_pptx():
 
 def test_formats_and_refusals():
     assert X.detect(b"%PDF-1.7") == "pdf" and X.detect(b"{\\rtf1") == "rtf" and X.detect(b"<p>a</p><div>b</div>") == "html" and X.detect(b"x", "a.MD") == "markdown" and X.detect(b"x,y") == "text"
-    assert X.extract(bytes.fromhex("d0cf11e0a1b11ae1")).error.startswith("ole2") and X.extract(b"\xff\x00").error and X.extract(None).error and X.extract(b"abc", most=2).error.startswith("oversized")
+    assert X.extract(bytes.fromhex("d0cf11e0a1b11ae1")).error.startswith("ole2") and X.extract(b"\xff\x00").error and X.extract(None).error and X.extract(b"abc", options=options.Extract(most_bytes=2)).error.startswith("oversized")
     assert X.decode("é".encode("utf-16")) == "é" and X.extract(b"a\r\nb").text == "a\nb"
 
 
 def test_sections():
     text, stats = X.clean_sections([(1, "A", "one"), (2, None, " "), (3, None, "three")])
     assert text == "one\n\nthree\n" and [(s["index"], s["chars"]) for s in stats] == [(1, 4), (3, 7)]
+
+
+NS = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:dgm="http://schemas.openxmlformats.org/drawingml/2006/diagram"'
+
+
+def one_slide(shapes, parts=(), links=()):
+    rels = lambda *rows: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="x/{kind}" Target="{to}"/>' for i, kind, to in rows) + "</Relationships>"
+    return package({
+        "ppt/presentation.xml": f'<p:presentation {NS}><p:sldIdLst><p:sldId r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(("r1", "slide", "slides/s1.xml")),
+        "ppt/slides/s1.xml": f"<p:sld {NS}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/s1.xml.rels": rels(*links),
+        "ppt/layouts/_rels/l1.xml.rels": rels(("m", "slideMaster", "../masters/m1.xml")),
+        **dict(parts),
+    })
+
+
+def slide_text(*args, **chosen):
+    slides, warnings = office.pptx_slides(one_slide(*args), options.Extract(**chosen))
+    return slides[0][2], warnings
+
+
+def test_inherited_bullets():
+    shape = lambda ph, *rows: f'<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody>{"".join(rows)}</p:txBody></p:sp>'
+    row = lambda text, props="": f"<a:p><a:pPr {props}</a:pPr><a:r><a:t>{text}</a:t></a:r></a:p>"
+    layout = f'<p:sldLayout {NS}><p:cSld><p:spTree>{shape("<p:ph type=&quot;body&quot; idx=&quot;1&quot;/>".replace("&quot;", chr(34)))}</p:spTree></p:cSld></p:sldLayout>'
+    master = f'<p:sldMaster {NS}><p:txStyles><p:bodyStyle><a:lvl1pPr><a:buChar char="x"/></a:lvl1pPr><a:lvl2pPr><a:buNone/></a:lvl2pPr></p:bodyStyle></p:txStyles></p:sldMaster>'
+    shapes = shape('<p:ph idx="1"/>', row("item", ">"), row("off", "><a:buNone/>"), row("deeper", 'lvl="1">')) + shape("", row("plain", ">"), row("own", "><a:buAutoNum/>"))
+    text, _ = slide_text(shapes, {"ppt/layouts/l1.xml": layout, "ppt/masters/m1.xml": master}, [("l", "slideLayout", "../layouts/l1.xml")])
+    assert text == "- item\noff\n  deeper\n\nplain\n- own"
+    assert slide_text(shapes)[0] == "item\noff\n  deeper\n\nplain\n- own"
+
+
+def test_charts_and_diagrams():
+    points = lambda *v: "".join(f'<c:pt idx="{i}"><c:v>{x}</c:v></c:pt>' for i, x in v)
+    series = f'<c:ser><c:tx><c:v>Sales</c:v></c:tx><c:cat>{points((0, "Q1"), (1, "Q2"))}</c:cat><c:val>{points((0, 5), (2, 7), (99, 1), (-1, 1))}</c:val></c:ser>'
+    title = lambda t: f"<c:title><a:p><a:r><a:t>{t}</a:t></a:r></a:p></c:title>"
+    chart = f"<c:chartSpace {NS}><c:chart>{title('Year')}{series}<c:ser><c:xVal/></c:ser><c:valAx>{title('Units')}</c:valAx></c:chart></c:chartSpace>"
+    pts = "".join(f'<dgm:pt modelId="{i}" {kind}><dgm:t><a:p><a:r><a:t>{t}</a:t></a:r></a:p></dgm:t></dgm:pt>' for i, t, kind in [(0, "", 'type="doc"'), (1, "top", ""), (2, "second", ""), (3, "first", ""), (4, "loop", ""), (5, "loop too", "")])
+    edges = "".join(f'<dgm:cxn srcId="{a}" destId="{b}" srcOrd="{o}"/>' for a, b, o in [(0, 1, 0), (1, 2, 1), (1, 3, 0), (4, 5, 0), (5, 4, 0)])
+    diagram = f"<dgm:dataModel {NS}><dgm:ptLst>{pts}</dgm:ptLst><dgm:cxnLst>{edges}</dgm:cxnLst></dgm:dataModel>"
+    shapes = '<p:graphicFrame><c:chart r:id="c"/></p:graphicFrame><p:graphicFrame><dgm:relIds r:dm="d"/></p:graphicFrame><p:pic><p:nvPicPr><p:cNvPr descr="A harbour at dusk"/></p:nvPicPr></p:pic>'
+    parts, links = {"ppt/charts/c.xml": chart, "ppt/diagrams/d.xml": diagram}, [("c", "chart", "../charts/c.xml"), ("d", "diagramData", "../diagrams/d.xml")]
+    text, warnings = slide_text(shapes, parts, links)
+    assert text == "Year\nUnits\n\n- Category: Q1, Q2\n- Series: Sales\n\n- top\n  - first\n  - second\n- loop\n- loop too\n\n[image: A harbour at dusk]"
+    assert any("mixed chart" in w for w in warnings) and any("without a position" in w for w in warnings) and any("1 images" in w for w in warnings)
+    text, _ = slide_text(shapes, parts, links, chart_data=True, diagram_text=False)
+    assert "| Category | Sales |\n| --- | --- |\n| Q1 | 5 |\n| Q2 |  |\n|  | 7 |" in text and "- top" not in text
