@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LINES = "doc_id long, page int, line int, y double, left double, right double, page_height double, text string"
 
 
+def _keyed(frame: DataFrame, schema: str) -> str:
+    """A schema whose doc_id has the type that it has in the frame."""
+    return schema.replace("doc_id long", f"doc_id {frame.schema['doc_id'].dataType.simpleString()}")
+
+
 def page_lines(items: DataFrame) -> DataFrame:
     """One row per line in reading order. A page is a group of bounded size, so documents of any length are spread by page."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -19,8 +24,8 @@ def page_lines(items: DataFrame) -> DataFrame:
         rows = [(frame["doc_id"].iloc[0], frame["page"].iloc[0], n, x.y, x.left, x.right, height, x.text) for n, x in enumerate(lines)]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in LINES.split(", ")])
 
-    own = items.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text", *[F.col(c).cast("double") for c in ("x", "y", "width", "height", "page_height")])
-    return own.where(F.col("text").isNotNull()).groupBy("doc_id", "page").applyInPandas(run, LINES)
+    own = items.select("doc_id", F.col("page").cast("int"), "text", *[F.col(c).cast("double") for c in ("x", "y", "width", "height", "page_height")])
+    return own.where(F.col("text").isNotNull()).groupBy("doc_id", "page").applyInPandas(run, _keyed(own, LINES))
 
 
 def running_key(y: str, text: str):
@@ -59,4 +64,4 @@ def page_texts(lines: DataFrame) -> DataFrame:
         text = paragraphs([Line(*r) for r in rows[["y", "left", "right", "text"]].itertuples(index=False)])
         return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "page": [frame["page"].iloc[0]], "text": [text]})
 
-    return lines.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, text string")
+    return lines.groupBy("doc_id", "page").applyInPandas(run, _keyed(lines, "doc_id long, page int, text string"))

@@ -33,3 +33,16 @@ def test_running_text(spark):
     assert sorted(r.page for r in got if r.text == "Report" and r.y > 700) == [1] and sum(r.y < 50 for r in got) == 1 and sum(r.y == 400 for r in got) == 10
     keys = spark.createDataFrame(rows, pages.LINES).select("y", "text", pages.running_key("y", "text").alias("k")).collect()
     assert all(r.k == running_key(r.y, r.text) for r in keys)
+
+
+def test_files_to_text(spark, tmp_path):
+    from doclathe.sources import files
+    from test_pdf import lines, write
+
+    (tmp_path / "a.pdf").write_bytes(write([lines("Title", "of a page"), lines("Another")]))
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 broken")
+    items = files.read_pdf_items(spark, str(tmp_path))
+    got = pages.page_texts(pages.page_lines(items)).orderBy("page").collect()
+    assert [(r.page, r.text) for r in got] == [(1, "Title\nof a page"), (2, "Another")]
+    read = {r.source.rpartition("/")[2]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert [s.text for s in read["a.pdf"].sections] == ["Title\nof a page", "Another"] and "no catalogue" in read["b.pdf"].error
