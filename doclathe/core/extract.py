@@ -80,11 +80,11 @@ def extract(content: bytes | None, name: str = "", options: Extract | None = Non
     if len(content) > options.most_bytes:
         return Document(kind, error=f"oversized: {len(content)} bytes, the limit is {options.most_bytes}")
     if kind in ("docx", "pptx", "pdf"):
-        from . import office, pdf
+        from . import office, pdf, word
 
         try:
             if kind == "docx":
-                return Document(kind, *office.docx(content))
+                return Document(kind, *word.docx(content))
             sections, warnings = pdf.document(content, options) if kind == "pdf" else office.pptx_slides(content, options)
         except (office.Unreadable, pdf.Unreadable) as e:
             return Document(kind, error=f"pdf: {e}" if kind == "pdf" else str(e))

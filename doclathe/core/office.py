@@ -1,4 +1,4 @@
-"""Word and PowerPoint packages: bounded zip, namespace-aware XML, text with headings, lists and tables."""
+"""Office packages: bounded zip, namespace-aware XML; PowerPoint decks to text."""
 
 from __future__ import annotations
 
@@ -67,14 +67,17 @@ class Package:
         data = self.read(name)
         return None if data is None else parse_xml(data)
 
-    def links(self, part: str) -> dict[str, tuple[str, str]]:
-        """Relationship id -> type and part name."""
+    def links(self, part: str, external: bool = False) -> dict[str, tuple[str, str]]:
+        """Relationship id -> type and part name; or the addresses outside."""
         folder, base = posixpath.split(part)
         tree = self.xml(posixpath.join(folder, "_rels", base + ".rels"))
         out = {}
         for t in tree.kids if tree else ():
-            if t.name == "rel:Relationship" and t.attrs.get("TargetMode") != "External":
+            if t.name == "rel:Relationship" and (t.attrs.get("TargetMode") == "External") == external:
                 target = t.attrs.get("Target", "")
+                if external:
+                    out[t.attrs.get("Id", "")] = ("", target)
+                    continue
                 out[t.attrs.get("Id", "")] = (t.attrs.get("Type", "").rpartition("/")[2], posixpath.normpath(target.lstrip("/") if target.startswith("/") else posixpath.join(folder, target)))
         return out
 
@@ -139,64 +142,6 @@ def parse_xml(data: bytes) -> Tag:
     return top.kids[0]
 
 
-# Word
-
-
-def docx(content: bytes) -> tuple[str, list[str]]:
-    package = Package(content)
-    tree = package.xml("word/document.xml")
-    body = tree.first("w:body") if tree else None
-    if body is None:
-        raise Unreadable("word/document.xml is missing")
-    images = [0]
-    blocks = _word_blocks(body, images)
-    return "\n\n".join(b for b in blocks if b), [f"{images[0]} images dropped"] if images[0] else []
-
-
-def _word_blocks(parent: Tag, images: list[int]) -> list[str]:
-    out: list[str] = []
-    for k in parent.kids:
-        if k.name == "w:p":
-            text = _word_text(k, images).strip()
-            style = k.first("w:pPr", "w:pStyle")
-            level = re.fullmatch(r"(?i)heading\s*([1-6])", style.attrs.get("w:val", "")) if style else None
-            number = k.first("w:pPr", "w:numPr")
-            if number is not None and text:
-                depth = number.first("w:ilvl")
-                item = "  " * int(depth.attrs.get("w:val", "0") if depth else 0) + f"- {text}"
-                if out and re.match(r" *- ", out[-1].rpartition("\n")[2]):
-                    out[-1] += "\n" + item
-                else:
-                    out.append(item)
-            else:
-                out.append(f"{'#' * int(level[1])} {text}" if level and text else text)
-        elif k.name == "w:tbl":
-            rows = [[" ".join(_word_blocks(c, images)) for c in r.each("w:tc") for _ in range(_word_span(c))] for r in k.each("w:tr")]
-            out.append(md.render_table(rows) or "\n".join(" ".join(r) for r in rows))
-        elif k.name in ("w:sdt", "w:sdtContent", "w:ins"):
-            out += _word_blocks(k, images)
-    return out
-
-
-def _word_span(cell: Tag) -> int:
-    span = cell.first("w:tcPr", "w:gridSpan")
-    return max(1, min(64, int(span.attrs.get("w:val", "1")))) if span else 1
-
-
-def _word_text(p: Tag, images: list[int]) -> str:
-    out = []
-    for k in p.kids:
-        if k.name == "w:t":
-            out.append(k.text)
-        elif k.name in ("w:tab", "w:br", "w:cr"):
-            out.append("\t" if k.name == "w:tab" else "\n")
-        elif k.name in ("w:drawing", "w:pict"):
-            images[0] += 1
-        elif k.name not in ("w:del", "w:pPr", "w:rPr", "w:instrText"):
-            out.append(_word_text(k, images))
-    return "".join(out)
-
-
 # PowerPoint
 
 

@@ -270,3 +270,23 @@ _add("page_lines", lambda spark, d: _pages.page_lines(_positioned(spark, d)))
 _add("page_texts", lambda spark, d: _pages.page_texts(_pages.suppress_running_text(_pages.page_lines(_positioned(spark, d)))))
 _POSITIONED = r"""(SELECT doc_id, n // 40 + 1 AS page, 700 - (n % 40) * 12.0::DOUBLE AS y, text FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS text, unnest(range(0, len(string_split(text, '. ')))) AS n FROM documents))"""
 _add("running_text", lambda spark, d: _pages.suppress_running_text(_positioned(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")), f"WITH p AS (SELECT doc_id, count(*) AS n, max(page) AS k FROM {_POSITIONED} GROUP BY 1) SELECT doc_id, n + CASE WHEN k >= 4 THEN 1 ELSE k END AS lines FROM p")
+
+
+# conversations as PDF files of one page, a line for each turn
+from ..sources.files import process as _process  # noqa: E402
+
+
+def _pdf_files(spark, d):
+    words = F.trim(F.regexp_replace(F.col("text"), "[^!-~]+", " "))
+    shown = F.concat(F.lit("("), F.regexp_replace(words, r"([\\()])", r"\\$1"), F.lit(") '\n"))
+    page = _plain(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", shown.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [4 0 R] /Count 1 /MediaBox [0 0 612 792] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>", "<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources << /Font << /F1 3 0 R >> >> >>"]
+    head = "%PDF-1.4\n" + "".join(f"{n} 0 obj\n{x}\nendobj\n" for n, x in enumerate(objects, 1)) + "5 0 obj\n<< >>\nstream\nBT /F1 10 Tf 14 TL 72 700 Td\n"
+    return page.select("conv_id", F.encode(F.concat(F.lit(head), F.col("s"), F.lit("ET\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>\n")), "US-ASCII").alias("content"))
+
+
+_SHOWN = r"(SELECT conv_id, turn, trim(regexp_replace(text, '[^!-~]+', ' ', 'g')) AS t FROM conversations)"
+_add("pdf_text", lambda spark, d: _pdf_files(spark, d).select("conv_id", udfs.extract("content", F.lit("a.pdf")).alias("d")).select("conv_id", "d.format", "d.text"), f"SELECT conv_id, 'pdf' AS format, string_agg(t, chr(10) ORDER BY turn) AS text FROM {_SHOWN} WHERE t <> '' GROUP BY 1")
+_add("pdf_items", lambda spark, d: udfs.pdf_items(_pdf_files(spark, d), "conv_id", "content").groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.sum("width").alias("width"), F.min("y").alias("lowest")), f"SELECT conv_id AS doc_id, count(*) AS items, sum(length(t) * 6.0::DOUBLE) AS width, min(y) AS lowest FROM (SELECT *, 700.0::DOUBLE - 14 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM {_SHOWN}) WHERE t <> '' GROUP BY 1")
+_add("pdf_page_texts", lambda spark, d: _pages.page_texts(_pages.page_lines(udfs.pdf_items(_pdf_files(spark, d), "conv_id", "content"))), f"SELECT conv_id AS doc_id, 1 AS page, string_agg(t, chr(10) ORDER BY turn) AS text FROM {_SHOWN} WHERE t <> '' GROUP BY 1")
+_add("process", lambda spark, d: _process(_pdf_files(spark, d).select(F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("source"), "content")).select("source", "format", "text", "stats.chars.before", "stats.chars.after"))

@@ -166,3 +166,31 @@ def test_charts_and_diagrams():
     assert any("mixed chart" in w for w in warnings) and any("without a position" in w for w in warnings) and any("1 images" in w for w in warnings)
     text, _ = slide_text(shapes, parts, links, chart_data=True, diagram_text=False)
     assert "| Category | Sales |\n| --- | --- |\n| Q1 | 5 |\n| Q2 |  |\n|  | 7 |" in text and "- top" not in text
+
+
+def test_docx_in_full():
+    run = lambda text, props="": f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{text}</w:t></w:r>'
+    para = lambda *runs, props="": f"<w:p><w:pPr>{props}</w:pPr>{''.join(runs)}</w:p>"
+    item = lambda text, level, number: para(run(text), props=f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{number}"/></w:numPr>')
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{para(run(text))}</w:tc>"
+    body = (
+        para(run("Start"), props='<w:pStyle w:val="Kop1"/>')
+        + para(run("some "), run("bo", "<w:b/>"), run("ld", "<w:b/>"), run(" a &amp; b &lt;i&gt; "), '<w:hyperlink r:id="h1">' + run("site") + "</w:hyperlink>", '<w:r><w:footnoteReference w:id="2"/></w:r>', run("gone", "<w:vanish/>"), "<w:del>" + run("cut") + "</w:del>")
+        + item("one", 0, 1) + item("deeper", 1, 1) + item("two", 0, 1) + item("first", 0, 2) + item("second", 0, 2)
+        + f"<w:tbl><w:tr>{cell('h1')}{cell('h2')}</w:tr><w:tr>{cell('tall', '<w:vMerge w:val=&quot;restart&quot;/>'.replace('&quot;', chr(34)))}{cell('x')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('y')}</w:tr></w:tbl>"
+        + '<w:p><w:r><w:drawing><docPr descr="A harbour at dusk"/></w:drawing></w:r></w:p>'
+    )
+    ns = f'{W} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    level = lambda kind: f'<w:lvl w:ilvl="0"><w:numFmt w:val="{kind}"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl>'
+    doc = X.extract(package({
+        "word/document.xml": f"<w:document {ns}><w:body>{body}</w:body></w:document>",
+        "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="h1" Type="x/hyperlink" Target="https://a.example/b" TargetMode="External"/></Relationships>',
+        "word/styles.xml": f'<w:styles {W}><w:style w:styleId="Kop1"><w:name w:val="heading 1"/></w:style></w:styles>',
+        "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="7">{level("bullet")}</w:abstractNum><w:abstractNum w:abstractNumId="8">{level("decimal")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="8"/></w:num></w:numbering>',
+        "word/footnotes.xml": f'<w:footnotes {W}><w:footnote w:id="2">{para(run("the note"))}</w:footnote></w:footnotes>',
+    }))
+    assert doc.error is None and doc.warnings == ["1 images dropped, 1 of them captioned", "1 merged cells flattened"]
+    assert doc.text == (
+        "# Start\n\nsome **bold** a & b <i> [site](https://a.example/b)[1]\n\n- one\n  - deeper\n- two\n\n1. first\n2. second\n\n"
+        "| h1 | h2 |\n| --- | --- |\n| tall | x |\n| tall | y |\n\n[image: A harbour at dusk]\n\n1. the note ↑"
+    )
