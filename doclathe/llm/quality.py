@@ -9,8 +9,8 @@ no rows give no rows; rows that repeat are judged alike and each counts for its
 
 Repeated three-word windows are found by sorting, in each row, one long per window: the high bits of the
 window's 64-bit hash, and its position in the low bits (as many as the number of words needs). Two different
-windows of one text are taken for the same with a probability of about n*n/2 in 2^(64-log2 n): under 1e-8
-for 4,000 words.
+windows of one text are taken for the same with a probability of about n*n/2 in 2^(64-log2 n): under 1e-7
+for 2^PACKED_BITS words. Longer texts sort pairs of the whole hash and the position: under 1e-6 for 5 million words.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import own_columns, written
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
+#: Texts of fewer words than 2 to this have hash and position of a window in one long.
+PACKED_BITS = 13
 #: A host goes when its shrunk failure rate reaches this.
 HOST_LIMIT = 0.8
 
@@ -41,10 +43,15 @@ def counted(docs: DataFrame) -> DataFrame:
         F.when(F.instr("text", "\n") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias("n_dup_lines"),
         F.greatest(F.lit(1), F.ceil(F.log2(F.size("w") + 1.0))).cast("int").alias("b"),
     )
+    packed = F.col("b") <= PACKED_BITS
     windows = F.expr("sort_array(transform(sequence(0, n_words - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) << b) | i))")
-    rows = rows.withColumn("g", F.when(F.col("n_words") >= 4, windows).otherwise(F.array().cast("array<bigint>"))).drop("w")
+    pairs = F.expr("sort_array(transform(sequence(0, n_words - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))")
+    rows = rows.withColumn("g", F.when((F.col("n_words") >= 4) & packed, windows).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("v", F.when(packed, F.array().cast("array<struct<h:bigint,i:bigint>>")).otherwise(pairs)).drop("w")
     twin = "filter(g, (x, j) -> (j > 0 AND shiftrightunsigned(g[greatest(j - 1, 0)] ^ x, b) = 0) OR (j < size(g) - 1 AND shiftrightunsigned(g[least(j + 1, size(g) - 1)] ^ x, b) = 0))"
-    rows = rows.withColumn("p", F.expr(f"sort_array(transform({twin}, x -> x & ((1L << b) - 1)))")).drop("g")
+    twins = "filter(v, (x, j) -> (j > 0 AND v[greatest(j - 1, 0)].h = x.h) OR (j < size(v) - 1 AND v[least(j + 1, size(v) - 1)].h = x.h))"
+    placed = F.when(packed, F.expr(f"sort_array(transform({twin}, x -> x & ((1L << b) - 1)))")).otherwise(F.expr(f"sort_array(transform({twins}, x -> x.i))"))
+    rows = rows.withColumn("p", placed).drop("g", "v")
     covered = F.expr("CASE WHEN size(p) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(p) - 1), 0L, (s, j) -> s + least(3L, p[j] - p[j - 1])) END")
     covered = F.when(F.size("p") == 0, F.lit(0).cast("long")).when(F.size("p") == 1, F.lit(3).cast("long")).otherwise(covered)
     rows = rows.withColumn("n_repeat_words", covered).drop("p", "b")

@@ -402,3 +402,11 @@ def test_clashing_columns(docs, wide, name):
 def test_pages_tables_may_be_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge_urls(pages).count() == 0 and html_main.main_text(pages).count() == 0
+
+
+def test_quality_of_long_texts(spark):
+    rng = np.random.default_rng(3)
+    for words, kinds in ((8_191, 60), (8_192, 60), (30_000, 90), (20_000, 1)):  # about where windows go to pairs, and beyond
+        text = " ".join(f"w{x}" for x in rng.integers(0, kinds, words))
+        got = quality.quality_rules(spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)).first()
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words, got.base_failed) == brute_quality(text)
