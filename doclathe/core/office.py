@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -29,6 +30,7 @@ SPACES = {
     "http://schemas.openxmlformats.org/drawingml/2006/diagram": "dgm", "http://purl.oclc.org/ooxml/drawingml/diagram": "dgm",
 }
 BODY_HOLDERS = ("body", "subTitle", "obj", "tbl", "chart", "clipArt", "dgm", "media", "pic")
+REPEATED_SLIDES, REPEATED_SHARE = 4, 0.6
 CHROME_FIELD, DEEPEST_LEVEL = r"(?i)slidenum|datetime[0-9]*|ftr|hdr", 8
 # end of fixed values
 
@@ -173,13 +175,34 @@ def pptx_slides(content: bytes, options: Extract | None = None) -> tuple[list[tu
         reading = Reading(package, package.links(part), _inherited(package, part, styles), canvas, options, notes)
         title, text = reading.slide(tree) if tree else (None, "")
         out.append((number, title, text))
+    repeated = 0
+    if options.drop_running_headers:
+        out, repeated = _once(out)
     told = [
-        (notes.images, f"{notes.images} images dropped, {notes.captions} of them captioned"), (notes.merged, f"{notes.merged} merged cells flattened"), *((1, x) for x in notes.charts),
+        (repeated, f"{repeated} blocks repeated on most slides dropped"), (notes.images, f"{notes.images} images dropped, {notes.captions} of them captioned"), (notes.merged, f"{notes.merged} merged cells flattened"), *((1, x) for x in notes.charts),
         (skipped, f"{skipped} hidden slides skipped"), (left_out, f"{left_out} slides past the limit not read"), (out and not any(text.strip() for _, _, text in out), f"{len(out)} slides read, but no text found"),
     ]
     return out, [text for n, text in told if n]
 
 
+def _once(slides: list[tuple[int, str | None, str]]) -> tuple[list[tuple[int, str | None, str]], int]:
+    """Of a block that most slides have only its first copy stays; and how many went."""
+    on = Counter(block for _, _, text in slides for block in {b.strip() for b in text.split("\n\n")} - {""})
+    most = {b for b, n in on.items() if len(slides) >= REPEATED_SLIDES and n >= REPEATED_SHARE * len(slides)}
+    out, seen, gone = [], set(), 0
+    for number, title, text in slides:
+        kept = []
+        for block in text.split("\n\n"):
+            key = block.strip()
+            if key in most and key in seen:
+                gone += 1
+                continue
+            seen.add(key)
+            kept.append(block)
+        out.append((number, title, "\n\n".join(kept)))
+    return out, gone
+
+
 @dataclass
 class Notes:
     images: int = 0

@@ -194,3 +194,9 @@ def test_docx_in_full():
         "# Start\n\nsome **bold** a & b <i> [site](https://a.example/b)[1]\n\n- one\n  - deeper\n- two\n\n1. first\n2. second\n\n"
         "| h1 | h2 |\n| --- | --- |\n| tall | x |\n| tall | y |\n\n[image: A harbour at dusk]\n\n1. the note ↑"
     )
+
+
+def test_blocks_on_most_slides():
+    slides = [(n, None, f"own {n}\n\nfooter") for n in range(1, 6)]
+    assert office._once(slides) == ([(1, None, "own 1\n\nfooter"), *[(n, None, f"own {n}") for n in range(2, 6)]], 4)
+    assert office._once(slides[:3]) == (slides[:3], 0)
