@@ -26,8 +26,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, chunks, from_planes, lowered, mix, own_columns, partitions, planes, prefix_hash, span_hash, trim_memory, trimmed, word_spans, written
 from .components import connected_components
@@ -80,27 +82,35 @@ def _group_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sets_of(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts in order of hash, the text number of each; size and signature of each text's set."""
+    h, doc = ngram_hashes(texts, n)
+    order = np.argsort(h, kind="stable")  # texts ascend within equal hashes
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new].astype(np.uint16)
+    by = np.argsort(doc, kind="stable")
+    d = doc[by]
+    size = np.bincount(d, minlength=len(texts))
+    s1, s2 = (_group_sums(mix(h[by] ^ np.uint64(x)), d, len(texts)) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+    return h, doc, size.astype(np.int64), s1, s2
+
+
 def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (the set's signature), grams and counts (what is shared, rarest first; null where too little)."""
     parts = max(16, 2 * partitions(docs.sparkSession))
     bounds = np.array([i * (1 << 64) // parts for i in range(parts)], np.uint64)
 
     def scatter(batches):
-        for part in chunks(batches, "text", BATCH_BYTES, 60_000):
-            h, doc = ngram_hashes(part.column("text"), n)
-            order = np.argsort(h, kind="stable")  # texts ascend within equal hashes
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[new], doc[new].astype(np.uint16)
-            by = np.argsort(doc, kind="stable")
-            d = doc[by]
-            size = np.bincount(d, minlength=part.num_rows)
-            s1, s2 = (_group_sums(mix(h[by] ^ np.uint64(x)), d, part.num_rows) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+        for number, part in enumerate(chunks(batches, "text", BATCH_BYTES, 60_000)):
+            h, doc, size, s1, s2 = sets_of(part.column("text"), n)
             ids = np.asarray(part.column("doc_id").fill_null(_NO_ID), np.int64)
-            name = hashlib.sha256(b"".join(x.tobytes() for x in (ids, size, s1, s2))).hexdigest()[:32]
+            # batches of equal rows must not share a name
+            place = np.array([TaskContext.get().partitionId(), number])
+            name = hashlib.sha256(b"".join(x.tobytes() for x in (place, ids, size, s1, s2))).hexdigest()[:32]
             at = [*np.searchsorted(h, bounds).tolist(), len(h)]
-            rows = [(int(name[:6], 16) % parts, name, "docs", ids.tobytes(), size.astype(np.int64).tobytes(), s1.tobytes(), s2.tobytes())]
+            rows = [(int(name[:6], 16) % parts, name, "docs", ids.tobytes(), size.tobytes(), s1.tobytes(), s2.tobytes())]
             rows += [(b, name, "grams", planes(h[at[b] : at[b + 1]]), doc[at[b] : at[b + 1]].tobytes(), None, None) for b in range(parts) if at[b + 1] > at[b]]
             yield from _table(_ROWS, rows).to_batches()
 
@@ -308,8 +318,15 @@ def _prefixes(percent: int):
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
     sets = written(shared_sets(docs, n, percent), "jaccard-sets")
+    comp = linked_sets(sets, percent, most)
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"))
+    return out.join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def linked_sets(sets: DataFrame, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """node, root: for every linked doc_id of shared_sets the smallest one of its component."""
+    spark = sets.sparkSession
     some = sets.where("grams is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = some.select("doc_id", "n", "s1", "s2").distinct().join(classes, ["n", "s1", "s2"]).select("doc_id", "rep")
@@ -331,9 +348,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, mos
     links = written(_joined(inner, percent), "jaccard-links")
     if sizes.where(~small).limit(1).count():
         links = _large(placed.where(~small), links, percent, most)
-    comp = connected_components(links.unionByName(members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return connected_components(links.unionByName(members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
 
 
 def _joined(groups: DataFrame, percent: int) -> DataFrame:
@@ -364,8 +379,33 @@ def _large(placed: DataFrame, links: DataFrame, percent: int, most: int) -> Data
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The documents without near duplicates: of each group the row with the smallest id stays (one row of equal ids that are linked)."""
-    found = near_duplicates(docs, n, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
-    named = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.where("doc_id is null"))
+    """The documents without near duplicates: of each group of linked rows the row with the smallest id stays.
+
+    Here a document is an id and a set: of rows that share an id, those of equal sets are one, those of other sets are
+    linked by their own n-grams only. Rows without n-grams or without id have no links and stay.
+    """
+    sets = written(shared_sets(docs, n, percent), "jaccard-sets")
+    again = written(sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("_again")), "jaccard-repeats")
+    if not again.limit(1).count():
+        gone = linked_sets(sets, percent).where("node != root").select(F.col("node").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # a node for each set of an id that repeats
+    node = F.xxhash64("doc_id", "n", "s1", "s2")
+    sets = sets.join(again, F.col("doc_id") == F.col("_again"), "left").withColumn("node", F.when(F.col("_again").isNotNull(), node).otherwise(F.col("doc_id")))
+    sets = written(sets.withColumnRenamed("doc_id", "id").withColumnRenamed("node", "doc_id").drop("_again"), "jaccard-nodes")
+    ids = sets.where("id != doc_id").select(F.col("doc_id").alias("_node"), "id").distinct()
+    comp = linked_sets(sets.drop("id"), percent).join(ids, F.col("node") == F.col("_node"), "left").select("node", "root", F.coalesce("id", "node").alias("id"))
+    stays = comp.groupBy("root").agg(F.min(F.struct("id", "node")).alias("m")).select("root", F.col("m.node").alias("stays"))
+    gone = written(comp.join(stays, "root").where("node != stays").select(F.col("node").alias("_gone")), "jaccard-gone")
+    one = docs.join(again, docs["doc_id"] == again["_again"], "left_anti").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+    def sign(batches):
+        for part in chunks(batches, "text", BATCH_BYTES, 60_000):
+            _, _, size, s1, s2 = sets_of(part.column("text"), n)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=[*part.schema.names, "_n", "_s1", "_s2"])
+
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_n", "_s1", "_s2"))])
+    odd = docs.join(again, docs["doc_id"] == again["_again"], "left_semi").mapInArrow(trimmed(sign), kind)
+    odd = odd.withColumn("_node", F.xxhash64(F.col("doc_id").cast("long"), "_n", "_s1", "_s2"))
+    odd = odd.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    return one.unionByName(odd.where("_n > 0").dropDuplicates(["_node"]).unionByName(odd.where("_n = 0")).select(*docs.columns))

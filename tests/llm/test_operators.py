@@ -103,6 +103,24 @@ def test_ngram_join_keeps_one_of_each(docs):
     assert len(got[0]) == 5
 
 
+def test_equal_batches_are_not_one(spark):
+    rng = random.Random(9)
+    shared = words(rng, 60).split(" ")
+    rows = [(i, " ".join(shared + words(random.Random(50 + i), 60).split(" ")), "en", "a", 1) for i in range(6)]  # Jaccard of about a third
+    part = spark.createDataFrame(rows, DOCS).coalesce(1)
+    twice = part.union(part)
+    assert rows_of(ngram_join.near_duplicates(twice)) == brute_components(rows + rows)
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(twice).collect()) == list(range(6))
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    a, b, c, d = (words(random.Random(70 + i), 90) for i in range(4))
+    near = a + " end"
+    rows = [(7, a), (7, b), (7, a), (8, near), (3, near), (3, c), (9, c), (10, d), (11, ""), (11, None), (11, d), (12, b), (None, b), (None, b)]
+    got = ngram_join.one_of_each(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, near), (3, c), (7, b), (10, d), (11, ""), (11, None), (None, b), (None, b)], key=repr)
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(5)
     for _ in range(30):
