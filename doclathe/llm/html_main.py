@@ -35,7 +35,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments commentlist disqus reply replies respond widget pagination pager skip masthead topbar toolbar".split())
 #: The same, but not within an article, where they hold its own head.
 OUTER_MARKS = frozenset("header banner".split())
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 #: A node is template if its text is the same on this share of the host's pages, three at least.
 TEMPLATE_SHARE = 0.5
@@ -47,16 +47,16 @@ MOST_PAIRS = 40_000
 @lru_cache(20_000)
 def _attributes(attrs: str) -> tuple[str, frozenset, bool]:
     """Role, parts of class names and id, hidden."""
-    role, names, hidden = "", [], False
+    values: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        value = _html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if m[5]:
-            hidden = True
-        elif m[1].lower() == "role":
-            role = value.strip()
-        else:
-            names += re.split(r"[\s_-]+", value)
-    return role, frozenset(names), hidden
+        values.setdefault(m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "").lower())
+    names = [part for k in ("class", "id") if k in values for part in re.split(r"[\s_-]+", values[k])]
+    style = {}
+    for rule in values.get("style", "").split(";"):
+        name, _, value = rule.partition(":")
+        style[name.strip()] = value.replace("!important", "").strip()
+    hidden = "hidden" in values or style.get("display") == "none" or style.get("visibility") == "hidden"
+    return values.get("role", "").strip(), frozenset(names), hidden
 
 
 def _says_chrome(node: Node, inside: bool) -> bool:

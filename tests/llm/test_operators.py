@@ -218,6 +218,16 @@ def test_html():
     assert page.articles == ["Head & line", "One two three", "four", "a", "b"]
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'aria-hidden="false"', 'data-x="hidden"', 'data-id="sidebar" data-role="banner"', 'class="hidden-x"', 'title="a hidden thing"', 'style="display: none; display: block"'])
+def test_html_shown(attrs):
+    assert html_main.Page(f"<body><div {attrs}><article><p>Text</p></article></div>").articles == ["Text"]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', "class=a hidden id=b", 'style="color:red; Display : none"', "style='visibility:hidden !important'", 'id="sidebar"', "role=banner"])
+def test_html_hidden(attrs):
+    assert html_main.Page(f"<body><div {attrs}><article><p>Text</p></article></div>").articles == []
+
+
 def test_html_template(spark):
     rows = [(i, f"http://h.x/{i}", f"<body><div>Site name</div><div><p>Body {i} text</p><p>All rights</p></div><p>page {i * 7}</p></body>") for i in range(9)]
     rows += [(20, None, None), (21, "nohost", ""), (None, "http://h.x/z", "<p>x"), (22, "http://one.x/", "<p>Alone &copy; here"), (22, "http://one.x/", "<p>Alone &copy; here")]
