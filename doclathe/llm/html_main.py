@@ -6,8 +6,8 @@ with one page of it, of the commonest shape, by simple tree matching: nodes whos
 are its template, varying slots are content. Where a page marks its article (``article``, ``main``), that is
 the content as it stands; elsewhere the content is the slots that aren't template.
 
-What is compared between pages is the frame: the tree with a hash in place of each text. The votes on
-a host's nodes are summed over all its pages, so no host is gathered in one task.
+What is compared between pages is the frame: the tree of blocks, and below each block a node ``#`` for every run of
+text that it emits (inline elements included), with the run's hash. The votes on a host's nodes are summed over all its pages, so no host is gathered in one task.
 
 Defined results: null and empty html give an empty text; a null URL, or one without host, belongs to the host '';
 a host with fewer than three pages has no template; no rows give no rows; rows that repeat give the same text each
@@ -73,7 +73,7 @@ def _is_article(node: Node) -> bool:
 
 
 class Page:
-    """Blocks of a page: those of its articles, and those elsewhere with the number of their frame node."""
+    """Blocks of a page: those of its articles, and those elsewhere with the number of their run's frame node."""
 
     def __init__(self, source: str):
         self.articles: list[str] = []
@@ -81,29 +81,30 @@ class Page:
         self.others: list[tuple[int, str]] = []
         self.frame: list[str] = []
         self.run: list[str] = []
-        self.where: tuple[bool, int] = (False, 0)
+        self.where: tuple[bool, int] = (False, -1)  # in an article, depth of the block around
         self._walk(parse(source))
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", _html.unescape("".join(self.run))).strip()
         self.run = []
         if text:
-            inside, number = self.where
+            inside, depth = self.where
             if inside:
                 self.articles.append(text)
             else:
-                self.others.append((number, text))
+                self.others.append((len(self.frame), text))
+                self.frame.append(f"{min(depth + 1, 60)}:#:{xxhash.xxh32_hexdigest(text)}")
 
     def _walk(self, root: Node) -> None:
         """An iterative walk (pages may be nested deeply): ends of blocks are marked on the stack."""
-        stack: list[tuple] = [(root, 0, False, False)]
+        stack: list[tuple] = [(root, False, False)]
         while stack:
             item = stack.pop()
             if len(item) == 2:  # the end of a block: what follows belongs to the block around it
                 self._flush()
                 self.where = item
                 continue
-            node, depth, inside, chrome = item
+            node, inside, chrome = item
             if isinstance(node, str):
                 if not chrome:
                     self.run.append(node)
@@ -113,37 +114,39 @@ class Page:
                 self.marked = True
             chrome = chrome or _says_chrome(node, inside or own)
             block = node.tag in BLOCK
+            depth = self.where[1] + block
             if block:
                 self._flush()
-            if not inside:
-                # what is compared between pages: tag, and a hash of the node's own text
-                words = "" if own else " ".join("".join(k for k in node.kids if isinstance(k, str)).split())
+            if block and not inside:
+                # texts that are emitted have nodes of their own; what chrome says only helps to align
+                words = " ".join("".join(k for k in node.kids if isinstance(k, str)).split()) if chrome and not own else ""
                 self.frame.append(f"{min(depth, 60)}:{node.tag}:{xxhash.xxh32_hexdigest(words) if words else ''}")
             if chrome and node.tag in RAW:
                 continue
             if node.tag in ("br", "wbr", "img"):
                 self.run.append("" if node.tag == "wbr" else " ")
             inside = inside or own
-            here = (inside, len(self.frame) - 1)
             if block:
                 stack.append(self.where)
-                self.where = here
+                self.where = (inside, depth)
             for kid in reversed(node.kids):
-                stack.append((kid, depth + 1, inside, chrome))
+                stack.append((kid, inside, chrome))
         self._flush()
 
 
 def read_frame(frame: str) -> list[list]:
-    """Nodes in page order: [tag, hash, children, number]; the first is the root."""
+    """Nodes in page order: [tag, hash, children, number, hash of the subtree]; the first is the root."""
     nodes, path = [], []
     for number, item in enumerate(frame.split(";")):
         depth, tag, digest = item.split(":")
-        node = [tag, digest, [], number]
+        node = [tag, digest, [], number, 0]
         del path[int(depth) :]
         if path:
             path[-1][2].append(node)
         path.append(node)
         nodes.append(node)
+    for node in reversed(nodes):
+        node[4] = hash((node[0], node[1], *(k[4] for k in node[2])))
     return nodes
 
 
@@ -179,13 +182,21 @@ def align(a: list, b: list) -> list[tuple[int, int, bool]]:
         if not xs or not ys:
             continue
         if len(xs) * len(ys) > MOST_PAIRS:
-            ahead = {}
-            for k in ys:
-                ahead.setdefault((k[0], k[1]), []).append(k)
-            for k in xs:
-                same = ahead.get((k[0], k[1]))
-                if same:
-                    todo.append((k, same.pop(0)))
+            # equal subtrees first, then what is left of each tag, both in order of appearance
+            for part in (4, 0):
+                ahead, left = {}, []
+                for k in ys:
+                    ahead.setdefault((k[0], k[part]), []).append(k)
+                ahead = {k: iter(v) for k, v in ahead.items()}
+                taken = set()
+                for k in xs:
+                    same = next(ahead.get((k[0], k[part]), iter(())), None)
+                    if same:
+                        todo.append((k, same))
+                        taken.add(same[3])
+                    else:
+                        left.append(k)
+                xs, ys = left, [k for k in ys if k[3] not in taken]
             continue
         rows, i, j = table(xs, ys), len(xs), len(ys)
         while i and j:

@@ -237,6 +237,13 @@ def test_html_template(spark):
     assert html_main.main_text(pages).count() == len(rows) and html_main.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_template_of_inline_text(spark):
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li></ul><p><span>Subscribe</span></p>"
+    rows = [(i, f"http://h.x/{i}", f"<body>{menu}<p>By <a>Author {i}</a></p><ul><li>Price: <b>{i * 12}</b></li></ul><div>Lead <i>in</i><p>Body {i}</p>Tail <b>{i}</b></div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"By Author {i}\nPrice: {i * 12}\nBody {i}\nTail {i}" for i in range(9)}
+
+
 # 5
 
 
