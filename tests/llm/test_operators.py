@@ -350,6 +350,17 @@ def test_urls(spark):
     assert (at["x://c.net?/en/"].host, at["x://c.net?/en/"].path) == ("c.net", "") and at[None].host == "" and got[None].rule == "net/"
 
 
+def test_urls_by_the_name_of_the_host():
+    rng = random.Random(6)
+    good = [(f"www.{rng.choice(['garden', 'school', 'museum', 'library', 'river'])}{rng.randrange(40)}.{rng.choice(['com', 'org'])}", f"/en/{rng.randrange(999)}") for _ in range(400)]
+    bad = [(f"{rng.choice(['best-casino', 'cheap-pills', 'mega-poker'])}{rng.randrange(40)}.{rng.choice(['com', 'org'])}", f"/en/{rng.randrange(999)}") for _ in range(200)]
+    model = urls.Filter(good, bad)
+    assert model.blocks("casino-win.com/en/7") and model.blocks("cheap-pills.org/en/8") and not model.blocks("www.garden7.com/en/9") and not model.blocks("school.org/en/9")
+    assert [urls.masked(h, urls.RULES) for h in ("a.b.example.com", "example.com", "notexample.com", "cheap-pills.org", "x.example.net")] == ["a.b", "", "notexample.com", "cheap-pills", "x"]
+    hosts = {"casino-win.com": True, "my-bets3.org": True, "ads-track.example.com": True, "alphabets.com": False, "essex.org": False, "downloads.org": False, "caterpillar.com": False}
+    assert {h: bool(re.search(urls.bad_word(), h)) for h in hosts} == hosts
+
+
 # 9
 
 
