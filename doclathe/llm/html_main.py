@@ -3,7 +3,7 @@
 Each page becomes a DOM tree. Elements that say what they are (menus, headers, footers, sidebars, forms,
 scripts, adverts, comments and so on, by tag, role or class) are left out. The pages of a host are then aligned
 with one page of it, of the commonest shape, by simple tree matching: nodes whose text is the same on at least half of the host's pages
-are its template, varying slots are content. Where a page marks its article (``article``, ``main``), that is
+are its template, varying slots are content. Where a page marks its article (``article``, ``main``) and that has text, it is
 the content as it stands; elsewhere the content is the slots that aren't template.
 
 What is compared between pages is the frame: the tree of blocks, and below each block a node ``#`` for every run of
@@ -77,7 +77,6 @@ class Page:
 
     def __init__(self, source: str):
         self.articles: list[str] = []
-        self.marked = False
         self.others: list[tuple[int, str]] = []
         self.frame: list[str] = []
         self.run: list[str] = []
@@ -110,8 +109,6 @@ class Page:
                     self.run.append(node)
                 continue
             own = not inside and not chrome and _is_article(node)
-            if own:
-                self.marked = True
             chrome = chrome or _says_chrome(node, inside or own)
             block = node.tag in BLOCK
             depth = self.where[1] + block
@@ -225,7 +222,7 @@ def _parse(batches):
             page = Page(source or "")
             host = (url or "").partition("://")[2]
             host = re.split(r"[/?#]", host, maxsplit=1)[0].lower()
-            done = page.marked or not page.others
+            done = bool(page.articles) or not page.others  # an empty mark says nothing
             rows.append((page_id, url, host, "\n".join(page.articles) if done else None, ";".join(page.frame), _shape(page.frame), [] if done else [n for n, _ in page.others], [] if done else [t for _, t in page.others]))
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=[c.split(" ")[0] for c in _PARSED.split(", ")])

@@ -244,6 +244,12 @@ def test_html_template_of_inline_text(spark):
     assert got == {i: f"By Author {i}\nPrice: {i * 12}\nBody {i}\nTail {i}" for i in range(9)}
 
 
+def test_html_empty_article(spark):
+    rows = [(i, f"http://h.x/{i}", f"<body><main><p> </p></main><div>Site name</div><div><p>Body {i}</p></div></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Body {i}" for i in range(4)}
+
+
 # 5
 
 
