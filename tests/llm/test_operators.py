@@ -156,6 +156,21 @@ def test_bpe_is_the_library(docs):
     assert got == sorted(want, key=repr)
 
 
+def test_bpe_code_points_and_windows(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(vocabulary_path()), bpe.codec(open(vocabulary_path(), "rb").read())
+    odd = [c for a, b in (*bpe.LETTERS_16, *bpe.NUMBERS_16) for c in range(a, b + 1)] + [0x558, 0x58B, 0x88F, 0xC5C, 0x10940, 0xA7CE, 0xA7D2, 0x16EA0, 0x3A3]
+    points = [c for c in range(0x110000) if c < 0x600 or c % 97 == 0 and not 0xD800 <= c < 0xE000] + odd
+    texts = [f"a{c}b{c}{c}1{c} {c}" for c in map(chr, points)]
+    assert [own.encode_text(t) for t in texts] == [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "WINDOW", 7)
+    for text in ["", " ", "one two  three four\nfive <|endoftext|>six e\u0301 \u0301x " * 5, "x" * 100 + " y"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        plain = library.decode(ids, skip_special_tokens=False)
+        assert own.digests(text, True) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest(), ids)
+
+
 def test_bpe_stream_emits_early():
     codec = bpe.codec(open(vocabulary_path(), "rb").read())
     stream = codec.stream("ab" * 20_000)
