@@ -10,8 +10,10 @@
    the components of candidates are cut into groups of bounded size.
 4. In each group, the sets in global order are stored in a prefix tree, whose paths share the overlap with a query.
    Subtrees are pruned by the overlap that their remaining lengths allow, and where all is linked already.
-5. A candidate component over ``MOST`` sets is cut into blocks, each joined within itself, then with the first;
-   what isn't yet in the largest component is joined with all blocks. No link is lost, no pairs are listed.
+5. A candidate component over ``MOST`` sets is cut into blocks, each joined within itself, then with the first block, which
+   links most of what is one. Beyond that only grams of the prefixes matter whose sets aren't linked yet: the sets
+   of each such gram are a group (equal groups are one), groups over ``MOST`` are parted by size, as linked sets
+   have sizes within the threshold of each other, and cut into blocks. No link is lost, no pairs are listed.
 
 Defined results: null and empty texts, and texts of white space, have no n-grams and no links; fewer than n words are
 one n-gram; rows that repeat an id are one document (linked to itself) if their sets are equal, else each
@@ -31,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, chunks, from_planes, lowered, mix, own_columns, partitions, planes, prefix_hash, span_hash, trim_memory, trimmed, word_spans, written
+from .common import bytes_of, chunks, discard, free_names, from_planes, lowered, mix, own_columns, partitions, planes, prefix_hash, span_hash, trim_memory, trimmed, word_spans, written
 from .components import connected_components
 
 NGRAM = 5
 PERCENT = 80
-#: Sets in a group, at most.
-MOST = 1500
+#: Sets in a group, at most (twice as many where two blocks meet).
+MOST = 500
 BATCH_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 
@@ -287,7 +289,7 @@ _GROUP = "doc_id long, n long, grams binary, counts binary, comp long, label lon
 
 
 def _join_groups(percent: int):
-    """For each candidate component of a group: (doc, root) links."""
+    """For each candidate component of a group: (doc, root) links. Sets of one component share their group's trees only."""
     def run(table: pa.Table) -> pa.Table:
         comps: dict = {}
         for r in table.to_pylist():
@@ -347,16 +349,19 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, most: int = MOST) -> Da
     inner = inner.select(F.col("g"), "doc_id", "n", "grams", "counts", "comp", F.col("doc_id").alias("label"), F.lit(2).alias("side"))
     links = written(_joined(inner, percent), "jaccard-links")
     if sizes.where(~small).limit(1).count():
-        links = _large(placed.where(~small), links, percent, most)
-    return connected_components(links.unionByName(members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+        links = _large(placed.where(~small), tokens, links, percent, most)
+    out = connected_components(links.unionByName(members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    for done in (links, comps, reps):
+        discard(done)
+    return out
 
 
 def _joined(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("g").applyInArrow(lambda t: _join_groups(percent)(t), "a long, b long")
 
 
-def _large(placed: DataFrame, links: DataFrame, percent: int, most: int) -> DataFrame:
-    """Links across the blocks of candidate components that are too large for one group."""
+def _large(placed: DataFrame, tokens: DataFrame, links: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links beyond the blocks of candidate components that are too large for one group."""
     def labelled(found: DataFrame) -> DataFrame:
         comp = connected_components(found)
         return written(placed.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root"), "jaccard-labels")
@@ -367,45 +372,67 @@ def _large(placed: DataFrame, links: DataFrame, percent: int, most: int) -> Data
     last = F.ceil(F.col("k") / most) - 1
     hub = rows.where("block = 0").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), last.cast("long")))).select(F.xxhash64("comp", "j").alias("g"), *own, F.lit(0).alias("side"))
     rest = rows.where("block > 0").select(F.xxhash64("comp", F.col("block").cast("long")).alias("g"), *own, F.lit(1).alias("side"))
-    links = written(links.unionByName(_joined(hub.unionByName(rest), percent)), "jaccard-links")
+    links = links.unionByName(_joined(hub.unionByName(rest), percent))
+    links = written(links, "jaccard-links")
     rows = labelled(links)
-    # what isn't in the largest component, with everything
-    count = rows.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = count.groupBy("comp").agg(F.max(F.struct("c", F.col("label").alias("main"))).alias("m"), F.sum("c").alias("all")).select("comp", F.col("m.main").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
-    rows = rows.join(main.where("outside > 0"), "comp").withColumn("cuts", F.ceil(F.col("outside") / most)).withColumn("cut", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("cuts")))
-    left = rows.where("label != main").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).select(F.xxhash64("comp", "cut", "j").alias("g"), *own, F.lit(0).alias("side"))
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("cuts") - 1).cast("long")))).select(F.xxhash64("comp", "i", F.col("block").cast("long")).alias("g"), *own, F.lit(1).alias("side"))
-    return written(links.unionByName(_joined(left.unionByName(right), percent)), "jaccard-links")
+    # grams of prefixes whose sets have several labels; of grams with the same sets one
+    marked = tokens.join(rows.select("doc_id", "label"), "doc_id")
+    who = F.xxhash64("doc_id")
+    mixed = marked.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(who).alias("x"), F.sum(who.cast("decimal(38,0)")).alias("s"))
+    mixed = mixed.where("low != high").groupBy("k", "x", "s").agg(F.min("gram").alias("gram")).select("gram", "k")
+    # sets whose sizes are a step of the threshold apart or more, in either of two neighbouring bands, aren't linked
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long")
+    asked = written(marked.join(mixed, "gram").join(rows.select(*own[:1], "n"), "doc_id").select("gram", "k", "doc_id", F.when(F.col("k") > most, band).otherwise(0).alias("band")), "jaccard-mixed")
+    if not asked.limit(1).count():
+        return links
+    few, many = asked.where(F.col("k") <= most).select(F.xxhash64("gram").alias("g"), "doc_id", F.lit(2).alias("side")), asked.where(F.col("k") > most)
+    sizes = many.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("m")).select("gram", "band", F.ceil(F.col("m") / most).alias("blocks"))
+    # a group is some sets of a band with some of the same or the next lower band
+    cut = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks"))
+    cuts = many.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, ["gram", "band"]).select("gram", "band", "doc_id", "blocks", cut.alias("cut"))
+    each = lambda to: F.explode(F.sequence(F.lit(0).cast("long"), (to - 1).cast("long")))
+    below = F.explode(F.array("band", F.col("band") - 1))
+    others = sizes.select("gram", F.col("band").alias("lower"), F.col("blocks").alias("opposite"))
+    asks = cuts.withColumn("lower", below).join(others, ["gram", "lower"]).withColumn("j", each(F.col("opposite")))
+    asks = asks.select(F.xxhash64("gram", "band", "cut", "lower", "j").alias("g"), "doc_id", F.lit(1).alias("side"))
+    above = F.explode(F.array("band", F.col("band") + 1))
+    askers = sizes.select("gram", F.col("band").alias("upper"), F.col("blocks").alias("opposite"))
+    told = cuts.withColumn("upper", above).join(askers, ["gram", "upper"]).withColumn("i", each(F.col("opposite")))
+    told = told.select(F.xxhash64("gram", "upper", "i", "band", "cut").alias("g"), "doc_id", F.lit(0).alias("side"))
+    groups = few.unionByName(asks).unionByName(told).join(rows, "doc_id").select("g", *own, "side")
+    return written(links.unionByName(_joined(groups, percent)), "jaccard-links")
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The documents without near duplicates: of each group of linked rows the row with the smallest id stays.
 
     Here a document is an id and a set: of rows that share an id, those of equal sets are one, those of other sets are
-    linked by their own n-grams only. Rows without n-grams or without id have no links and stay.
+    linked by their own n-grams only. Rows without n-grams or without id have no links and stay. The columns are
+    those of docs, which may have any names; no rows give no rows.
     """
+    lost, twice, mine, count, first, second = free_names(docs, "jaccard_gone", "jaccard_again", "jaccard_node", "jaccard_n", "jaccard_s1", "jaccard_s2")
     sets = written(shared_sets(docs, n, percent), "jaccard-sets")
-    again = written(sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("_again")), "jaccard-repeats")
+    again = written(sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias(twice)), "jaccard-repeats")
     if not again.limit(1).count():
-        gone = linked_sets(sets, percent).where("node != root").select(F.col("node").alias("_gone"))
-        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+        gone = linked_sets(sets, percent).where("node != root").select(F.col("node").alias(lost))
+        return docs.join(gone, docs["doc_id"] == gone[lost], "left_anti")
     # a node for each set of an id that repeats
     node = F.xxhash64("doc_id", "n", "s1", "s2")
-    sets = sets.join(again, F.col("doc_id") == F.col("_again"), "left").withColumn("node", F.when(F.col("_again").isNotNull(), node).otherwise(F.col("doc_id")))
-    sets = written(sets.withColumnRenamed("doc_id", "id").withColumnRenamed("node", "doc_id").drop("_again"), "jaccard-nodes")
-    ids = sets.where("id != doc_id").select(F.col("doc_id").alias("_node"), "id").distinct()
-    comp = linked_sets(sets.drop("id"), percent).join(ids, F.col("node") == F.col("_node"), "left").select("node", "root", F.coalesce("id", "node").alias("id"))
+    nodes = sets.join(again, F.col("doc_id") == F.col(twice), "left").withColumn("node", F.when(F.col(twice).isNotNull(), node).otherwise(F.col("doc_id")))
+    nodes = written(nodes.withColumnRenamed("doc_id", "id").withColumnRenamed("node", "doc_id").drop(twice), "jaccard-nodes")
+    ids = nodes.where("id != doc_id").select(F.col("doc_id").alias("_node"), "id").distinct()
+    comp = linked_sets(nodes.drop("id"), percent).join(ids, F.col("node") == F.col("_node"), "left").select("node", "root", F.coalesce("id", "node").alias("id"))
     stays = comp.groupBy("root").agg(F.min(F.struct("id", "node")).alias("m")).select("root", F.col("m.node").alias("stays"))
-    gone = written(comp.join(stays, "root").where("node != stays").select(F.col("node").alias("_gone")), "jaccard-gone")
-    one = docs.join(again, docs["doc_id"] == again["_again"], "left_anti").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = written(comp.join(stays, "root").where("node != stays").select(F.col("node").alias(lost)), "jaccard-gone")
+    one = docs.join(again, docs["doc_id"] == again[twice], "left_anti").join(gone, docs["doc_id"] == gone[lost], "left_anti")
 
     def sign(batches):
         for part in chunks(batches, "text", BATCH_BYTES, 60_000):
             _, _, size, s1, s2 = sets_of(part.column("text"), n)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=[*part.schema.names, "_n", "_s1", "_s2"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=[*part.schema.names, count, first, second])
 
-    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_n", "_s1", "_s2"))])
-    odd = docs.join(again, docs["doc_id"] == again["_again"], "left_semi").mapInArrow(trimmed(sign), kind)
-    odd = odd.withColumn("_node", F.xxhash64(F.col("doc_id").cast("long"), "_n", "_s1", "_s2"))
-    odd = odd.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
-    return one.unionByName(odd.where("_n > 0").dropDuplicates(["_node"]).unionByName(odd.where("_n = 0")).select(*docs.columns))
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (count, first, second))])
+    odd = docs.join(again, docs["doc_id"] == again[twice], "left_semi").mapInArrow(trimmed(sign), kind)
+    odd = odd.withColumn(mine, F.xxhash64(F.col("doc_id").cast("long"), count, first, second))
+    odd = odd.join(gone, odd[mine] == gone[lost], "left_anti")
+    return one.unionByName(odd.where(F.col(count) > 0).dropDuplicates([mine]).unionByName(odd.where(F.col(count) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns]))
