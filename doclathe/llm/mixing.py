@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, written
+from .common import WORD, free_names, own_columns, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and text_hash): how many of its words the mix takes from each document.
+    """doc_id, size, source_size, target, taken (and source, text_hash): how many of its words the mix takes from each document.
 
     Complete epochs take every document whole; the rest of the target takes documents in the order of
     their keys while the middle of the document lies within it, so that a source misses its target by
@@ -71,7 +71,7 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
     sized = written(_sized(docs), "mix-sizes")
     goal = targets(sized).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goal = goal.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    own = ["doc_id", "text_hash", "size", "source_size", "target"]
+    own = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
     goal = written(goal, "mix-targets")
     few = goal.count() <= FEW_SOURCES
     rows = _beside(sized, goal.withColumn("before", F.lit(0).cast("long")), few)
@@ -107,8 +107,20 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with. Textless documents are never taken."""
-    times = mix_sizes(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_text")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
-    keyed = docs.withColumn("_mix_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(times["_mix_id"]) & (keyed["_mix_hash"] == times["_mix_text"])
-    return keyed.join(times, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each document as often as it is taken, with the columns it came with, whatever their names.
+
+    A document is an id, a text and a source. Rows that repeat all three are taken equally often; where the budget ends
+    among them, some (any) once more. Textless documents are never taken; no rows give no rows.
+    """
+    of, text, source, least, more, place, copy = free_names(docs, "mix_id", "mix_text", "mix_source", "mix_times", "mix_more", "mix_place", "mix_copy")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    each = mix_sizes(docs).where("size > 0").groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(text), F.col("source").alias(source))
+    each = each.agg(F.min(times).alias(least), (F.sum(times) - F.min(times) * F.count(F.lit(1))).alias(more)).where(F.col(least) + F.col(more) > 0)
+    same = docs["doc_id"].eqNullSafe(each[of]) & (F.xxhash64(docs["text"]) == each[text]) & docs["source"].eqNullSafe(each[source])
+    rows = written(docs.join(each, same), "mix-rows")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = rows.where(F.col(more) == 0)
+    # only what the budget's end parts is numbered
+    number = F.row_number().over(Window.partitionBy(of, text, source).orderBy(F.lit(1)))
+    parted = rows.where(F.col(more) > 0).withColumn(place, number).withColumn(least, F.col(least) + (F.col(place) <= F.col(more)).cast("int")).where(F.col(least) > 0).drop(place)
+    return whole.unionByName(parted).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(least)))).select(*columns)
