@@ -3,11 +3,11 @@
 Heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the counts of
 vote patterns (3 to the number of labellers at most, whatever the corpus) estimates each labeller's accuracy
 and the posterior of each pattern. A linear scorer on hashed words and word shapes is trained to the
-posteriors of at most ``SAMPLE`` documents (the smallest id hashes), then scores every document.
+posteriors of at most ``SAMPLE`` distinct texts (the smallest hashes), then scores every document.
 
 Defined results: null and empty texts are judged by their length alone, like any text of no words; no rows
 give no rows; without two kinds of posterior in the sample the score is the posterior itself; rows that repeat
-get the same score; extra columns are ignored.
+get the same score, whatever their ids (which may be null), and are one text of the sample; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,18 +154,19 @@ def classify(docs: DataFrame) -> DataFrame:
     counts = {r.votes: r.n for r in rows.mapInArrow(trimmed(vote), "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     known, _ = posteriors(counts)
     total = sum(counts.values())
-    # the expected number of sampled rows is SAMPLE, whatever the input
-    cut = min(1.0, SAMPLE / max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(cut * (1 << 40)))
+    # about twice SAMPLE rows by hash, copies being one, of which SAMPLE are taken: never more, whatever the ids and texts
+    cut = min(1.0, 2 * SAMPLE / max(1, total))
+    code = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    sample = rows.select(F.coalesce("text", F.lit("")).alias("text"), code.alias("code")).where(F.col("code") < int(cut * (1 << 40))).groupBy("code").agg(F.min("text").alias("text"))
 
     def featured(batches):
         for part in chunks(batches, "text", 4 << 20):
             words = Words(part.column("text"))
             doc, bucket, value = words.features()
             at = np.searchsorted(doc, np.arange(words.n + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_vote_text(words.votes()), pa.string()), *(pa.array([a[at[i] : at[i + 1]].astype(t).tobytes() for i in range(words.n)], pa.binary()) for a, t in ((bucket, np.uint16), (value, np.float32)))], names=["votes", "k", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("code"), pa.array(_vote_text(words.votes()), pa.string()), *(pa.array([a[at[i] : at[i + 1]].astype(t).tobytes() for i in range(words.n)], pa.binary()) for a, t in ((bucket, np.uint16), (value, np.float32)))], names=["code", "votes", "k", "x"])
 
-    got = sample.mapInArrow(trimmed(featured), "votes string, k binary, x binary").collect()
+    got = sample.mapInArrow(trimmed(featured), "code long, votes string, k binary, x binary").orderBy("code").limit(SAMPLE).collect()
     model = train(sorted(((known[r.votes], np.frombuffer(r.k, np.uint16).astype(np.int64), np.frombuffer(r.x, np.float32).astype(float)) for r in got), key=lambda r: (r[0], r[1].tobytes())))
     fixed = None if model is None else (model[0].astype(np.float32), model[1])
 
