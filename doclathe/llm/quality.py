@@ -1,8 +1,14 @@
 """Quality rules with host verdicts. Only DataFrame functions.
 
-Each document is judged by rules on its own text. Failures are summed by host (here: ``source``), the
-rate of each host is shrunk towards the rate of all by a beta prior fitted to the hosts by moments, and
-hosts whose shrunk rate reaches ``HOST_LIMIT`` lose all their documents.
+Each document is judged by rules on its own text: the base rule (too few words, or mostly repeated windows) and three
+more (``RULES``: symbols, repeated lines, word length). The failures of each rule are summed by host (here: ``source``),
+and each host's rate of each rule is shrunk towards the rate of all by a beta prior fitted to the hosts by moments.
+Verdicts come back to documents:
+
+- the base rule rejects by itself;
+- a host whose shrunk rate of the base rule reaches ``HOST_LIMIT`` loses all its documents;
+- a document that fails another rule goes unless its host is trusted in that rule, that is, has a shrunk rate under
+  ``TRUSTED`` times the mean of the hosts: there, a single odd text is an exception and stays.
 
 Defined results: null text has no words and fails the base rule; a null source is a host of its own;
 no rows give no rows; rows that repeat are judged alike and each counts for its host; extra columns are ignored.
@@ -24,12 +30,21 @@ LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 #: Texts of fewer words than 2 to this have hash and position of a window in one long.
 PACKED_BITS = 13
-#: A host goes when its shrunk failure rate reaches this.
+#: A host goes when its shrunk rate of base failures reaches this.
 HOST_LIMIT = 0.8
+#: A host is trusted in a rule when its shrunk rate is under this share of the hosts' mean.
+TRUSTED = 0.5
+#: The other rules, as SQL over the counts: more than a symbol for ten words; more than half of the lines repeated; words
+#: of under 2 or over 15 characters in the mean.
+RULES = {
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "2 * n_dup_lines > n_lines",
+    "length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+}
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_lines (with a word), n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.expr("trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce(text, ''))")
     words = F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
@@ -41,6 +56,7 @@ def counted(docs: DataFrame) -> DataFrame:
         (F.char_length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.when(F.instr("text", "\n") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long").alias("n_dup_lines"),
+        F.when(F.instr("text", "\n") > 0, F.size(lines)).otherwise((F.size("w") > 0).cast("int")).cast("long").alias("n_lines"),
         F.greatest(F.lit(1), F.ceil(F.log2(F.size("w") + 1.0))).cast("int").alias("b"),
     )
     packed = F.col("b") <= PACKED_BITS
@@ -60,22 +76,34 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """source, n, bad, rate: the failure rate of each host, shrunk by the prior fitted to all hosts.
+    """source, n, and for each rule (base first) rate_<rule> and mean_<rule>.
 
-    The prior's mean m is the mean of the hosts' rates and its weight s follows from their variance v,
-    s = m(1-m)/v - 1, held between 1 and 1000; with one host, or all rates alike, s is 1000.
+    A rate is the host's, shrunk by the prior fitted to all hosts: its mean m is the mean of the hosts' rates and its
+    weight s follows from their variance v, s = m(1-m)/v - 1, held between 1 and 1000; with one host, or all rates
+    alike, s is 1000.
     """
-    hosts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("bad"))
-    fit = hosts.select((F.col("bad") / F.col("n")).alias("r")).agg(F.avg("r").alias("m"), F.var_pop("r").alias("v"))
-    s = F.when(F.coalesce(F.col("v"), F.lit(0.0)) <= 0, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
-    fit = fit.select("m", s.alias("s"))
-    # one row of two numbers beside each host
-    return hosts.join(F.broadcast(fit)).select("source", "n", "bad", ((F.col("bad") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).alias("rate"))
+    rules = {"base": "base_failed", **RULES}
+    hosts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(f"CAST({rule} AS BIGINT)")).alias(f"bad_{name}") for name, rule in rules.items()])
+    share = lambda name: F.col(f"bad_{name}") / F.col("n")
+    fit = hosts.agg(*[f(share(name)).alias(f"{key}_{name}") for name in rules for key, f in (("mean", F.avg), ("spread", F.var_pop))])
+
+    def weight(name: str):
+        m, v = F.col(f"mean_{name}"), F.coalesce(F.col(f"spread_{name}"), F.lit(0.0))
+        return F.when(v <= 0, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1)))
+
+    fit = fit.select(*[f"mean_{name}" for name in rules], *[weight(name).alias(f"weight_{name}") for name in rules])
+    shrunk = [((F.col(f"bad_{name}") + F.col(f"mean_{name}") * F.col(f"weight_{name}")) / (F.col("n") + F.col(f"weight_{name}"))).alias(f"rate_{name}") for name in rules]
+    # one row of eight numbers beside each host
+    return hosts.join(F.broadcast(fit)).select("source", "n", *shrunk, *[f"mean_{name}" for name in rules])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The counts of every document, its text_hash, base_failed, host_rate and kept."""
+    """The counts of every document, its text_hash, base_failed, failed (the other rules that count against it), host_rate
+    (of the base rule) and kept."""
     judged = written(counted(docs), "quality")  # texts are read and counted once
-    rates = host_rates(judged).select(F.col("source").alias("_host"), F.col("rate").alias("host_rate"))
-    out = judged.join(rates, judged["source"].eqNullSafe(rates["_host"])).drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < HOST_LIMIT))
+    rates = host_rates(judged).withColumnRenamed("source", "_host").drop("n")
+    out = judged.join(rates, judged["source"].eqNullSafe(rates["_host"]))
+    against = [F.when(F.expr(rule) & (F.col(f"rate_{name}") >= TRUSTED * F.col(f"mean_{name}")), F.lit(name)) for name, rule in RULES.items()]
+    out = out.withColumn("failed", F.array_compact(F.array(*against)))
+    kept = ~F.col("base_failed") & (F.col("rate_base") < HOST_LIMIT) & (F.size("failed") == 0)
+    return out.select(*judged.columns, "failed", F.col("rate_base").alias("host_rate"), kept.alias("kept"))

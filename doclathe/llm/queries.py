@@ -24,7 +24,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sizes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mix_sizes(table(spark, sf_dir, "documents")).drop("text_hash", "source")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return secrets.secret_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_copied")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +85,21 @@ WITH d AS MATERIALIZED (
 ), g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g) WHERE k > 1),
 q AS (SELECT r, count(DISTINCT i + j) AS n FROM c, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
-l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT x) AS n, count(*) AS lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY r),
 b AS MATERIALIZED (
   SELECT d.r, doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(l.lines, 0) AS n_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN q ON d.r = q.r LEFT JOIN l ON d.r = l.r
-), j AS MATERIALIZED (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM j GROUP BY 1),
-f AS (SELECT m, CASE WHEN coalesce(v, 0) <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, m * (1 - m) / v - 1)) END AS s FROM (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h))
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (h.bad + f.m * f.s) / (h.n + f.s) < {quality.HOST_LIMIT} AS kept
-FROM j JOIN h ON j.source IS NOT DISTINCT FROM h.source, f
+), j AS MATERIALIZED (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed,
+  10 * n_symbols > n_words AS f1, 2 * n_dup_lines > n_lines AS f2, word_chars < 2 * n_words OR word_chars > 15 * n_words AS f3 FROM b),
+u AS (SELECT r, source, unnest([0, 1, 2, 3]) AS rule, unnest([base_failed, f1, f2, f3]) AS bad FROM j),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (bad) AS bad FROM u GROUP BY ALL),
+f AS (SELECT rule, m, CASE WHEN coalesce(v, 0) <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, m * (1 - m) / v - 1)) END AS s
+  FROM (SELECT rule, avg(bad / n) AS m, var_pop(bad / n) AS v FROM h GROUP BY rule)),
+t AS (SELECT source, rule, (h.bad + f.m * f.s) / (h.n + f.s) AS rate, f.m FROM h JOIN f USING (rule)),
+x AS (SELECT u.r, bool_or(CASE WHEN u.rule = 0 THEN u.bad OR t.rate >= {quality.HOST_LIMIT} ELSE u.bad AND t.rate >= {quality.TRUSTED} * t.m END) AS gone
+  FROM u JOIN t ON u.rule = t.rule AND u.source IS NOT DISTINCT FROM t.source GROUP BY u.r)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT gone AS kept FROM j JOIN x USING (r)
 """
 
 _OP6 = f"""
