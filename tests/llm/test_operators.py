@@ -1,5 +1,6 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -295,6 +296,77 @@ def test_html_template_of_inline_text(spark):
     assert got == {i: f"By Author {i}\nPrice: {i * 12}\nBody {i}\nTail {i}" for i in range(9)}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def brute_match(a, b):
+    """The size of the largest match of two trees (tag, children), by trying all."""
+    if a[0] != b[0]:
+        return 0
+
+    @functools.cache
+    def best(i, j):
+        if i == len(a[1]) or j == len(b[1]):
+            return 0
+        s = brute_match(a[1][i], b[1][j])
+        return max(best(i + 1, j), best(i, j + 1), s + best(i + 1, j + 1) if s else 0)
+
+    return 1 + best(0, 0)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_html_alignment_is_the_largest(cells, monkeypatch):
+    monkeypatch.setattr(html_main, "_CELLS", cells)
+    rng = random.Random(3)
+
+    def tree(depth):
+        return (rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else [])
+
+    def frame(t, depth=0):
+        return ";".join([f"{depth}:{t[0]}:{rng.choice(['', '', '1', '2'])}", *(frame(k, depth + 1) for k in t[1])])
+
+    for _ in range(150):
+        a, b = ("r", [tree(2) for _ in range(rng.randrange(7))]), ("r", [tree(2) for _ in range(rng.randrange(7))])
+        shapes = html_main.Shapes()
+        one, two = html_main.read_frame(frame(a), shapes), html_main.read_frame(frame(b), shapes)
+        pairs = html_main.align(one[0], two[0], shapes)
+        assert len(pairs) == brute_match(a, b) == shapes.match(one[0][5], two[0][5])
+        assert len({x for x, _, _ in pairs}) == len({y for _, y, _ in pairs}) == len(pairs)
+        assert sorted(pairs) == sorted(pairs, key=lambda p: (p[0], p[1])) and [y for _, y, _ in sorted(pairs)] == sorted(y for _, y, _ in pairs)
+
+
+def test_html_wrapper_within_and_beside_articles(spark):
+    def page(i, extra=""):
+        return f"<body><article><p>Share this story</p><h1>Title {i}</h1><p>{words(random.Random(i), 40)}</p><p>Written by our staff</p></article>{extra}</body>"
+
+    rows = [(i, f"http://in.x/{i}", page(i, f"<div>More of {i}</div>")) for i in range(5)] + [(5, "http://in.x/0", page(0, "<div>More of 0</div>"))] * 3
+    # the story stands outside two teasers, on every page of the host
+    rows += [(10 + i, f"http://tease.x/{i}", f"<body><article><p>Teaser {i}</p></article><article><p>Other {i}</p></article><div><p>{words(random.Random(i), 50)}</p></div></body>") for i in range(4)]
+    rows += [(20, "http://alone.x/", "<main><div class='share-price'>Shares rose</div><div class='share-buttons'>Post</div><div class='related_posts'>x</div><div class='comment-list-2'>y</div></main>")]
+    # near copies of one text, and copies: their text isn't template
+    base = [words(random.Random(99 + j), 30) for j in range(6)]
+    rows += [(30 + i, f"http://near.x/{i}", "<article>" + "".join(f"<p>{t if j != i else 'edit ' + t}</p>" for j, t in enumerate(base)) + "</article>") for i in range(6)]
+    got = {r.page_id: r for r in html_main.main_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert all(got[i].text == f"Title {i}\n{words(random.Random(i), 40)}" for i in range(5)) and got[5].text == got[0].text
+    assert all(words(random.Random(i), 50) in got[10 + i].text for i in range(4))
+    assert got[20].text == "Shares rose"
+    assert all(got[30 + i].text == "\n".join(t if j != i else "edit " + t for j, t in enumerate(base)) for i in range(6))
+    assert all(r.induced == (i != 20) for i, r in got.items())
+
+
+def test_html_long_and_deep(spark, monkeypatch):
+    long = "".join(f"<p>para {i} {'word ' * 5}</p>" for i in range(3000))
+    flat = [(i, f"http://flat.x/{i}", "<div>Same head</div>" + ("<div>one more</div>" if i == 2 else "") + "".join(f"<p>para {i} {k} x</p>" for k in range(1500)) + "<div>Same foot</div>") for i in range(4)]
+    deep = [(10 + i, f"http://deep.x/{i}", "<div>" * 3000 + f"Body {i}" + "</div>" * 2990 + "<div>Same end</div>") for i in range(4)]
+    odd = [(20, "http://odd.x/", long), (21, None, None), (22, "", "<p>"), (23, "http://flat.x/9", "")]
+    pages = spark.createDataFrame(flat + deep + odd, PAGES)
+    got = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    assert all(got[i] == "\n".join(([] if i != 2 else ["one more"]) + [f"para {i} {k} x" for k in range(1500)]) for i in range(4))
+    assert all(got[10 + i] == f"Body {i}" for i in range(4)) and got[20].count("\n") == 2999 and got[21] == got[22] == got[23] == ""
+    monkeypatch.setattr(html_main, "MOST_MODELS", 0)
+    assert {r.page_id: r.text for r in html_main.main_text(pages).collect()} == got
+
+
 def test_html_empty_article(spark):
     rows = [(i, f"http://h.x/{i}", f"<body><main><p> </p></main><div>Site name</div><div><p>Body {i}</p></div></body>") for i in range(4)]
     got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
