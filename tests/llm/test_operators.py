@@ -608,6 +608,24 @@ def test_neighbours(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, recall", [(4_000, 0.9), (16_000, 0.9), (1_500, 1.0)])
+def test_recall_without_clusters(spark, size, recall):
+    """Vectors without any structure, the hardest case: what is measured holds for other queries, at either size."""
+    rng = np.random.default_rng(size)
+    vectors = rng.normal(size=(size, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    asked = list(range(3, size, size // 100))
+    got = defaultdict(set)
+    for r in ann.nearest(table, table.where(F.col("vec_id").isin(asked)), **({"recall": 1} if recall == 1 else {})).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in asked:
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= recall * 20 * len(asked)
+
+
 def test_few_neighbours(spark):
     table = spark.createDataFrame([(20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest(table, table.where("vec_id = 20")).orderBy("rank").collect()] == [(1, 2.0), (2, 1.0)]
