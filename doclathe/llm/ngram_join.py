@@ -357,7 +357,9 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, most: int = MOST) -> Da
 
 
 def _joined(groups: DataFrame, percent: int) -> DataFrame:
-    return groups.groupBy("g").applyInArrow(lambda t: _join_groups(percent)(t), "a long, b long")
+    # dealt by number: small shuffles are work enough here, and must not be put together
+    many = 4 * max(partitions(groups.sparkSession), 1)
+    return groups.repartition(many, "g").groupBy("g").applyInArrow(lambda t: _join_groups(percent)(t), "a long, b long")
 
 
 def _large(placed: DataFrame, tokens: DataFrame, links: DataFrame, percent: int, most: int) -> DataFrame:
