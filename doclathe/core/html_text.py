@@ -21,6 +21,9 @@ TRIVIAL_ALT = r"image\s*\d*|images|avatar|photo|picture|logo|icon|emoji|graphic|
 IMAGE_FILE = r"[\w %.-]+\.(?:png|jpe?g|gif|webp|svg|bmp|tiff?|ico)"
 DISCLAIMER = r"[\s,.;:—-]*AI[- ]generated content may be incorrect[.\s]*$"
 MOST_SPAN = 64
+LANGUAGE_CLASS = r"""(?i)(?:^|[\s"'=])(?:language|lang|highlight)-([a-z0-9+#]{1,15})\b"""
+LANGUAGE_DATA = r"""(?i)\bdata-lang(?:uage)?\s*=\s*["']?([a-z0-9+#]{1,15})"""
+LEAST_ALT = 3
 # end of fixed values
 
 _ENTITIES = {n: html.entities.html5[n + ";"] for n in ENTITY_NAMES}
@@ -44,10 +47,13 @@ def attribute(node: Node, name: str) -> str | None:
     return decode(next(x for x in m.groups()[1:] if x is not None)) if m else None
 
 
+_MACHINE_ALT = re.compile(f"(?:{TRIVIAL_ALT}|{IMAGE_FILE}|data:.*)", re.I | re.S)
+
+
 def meaningful_alt(alt: str | None) -> str | None:
-    alt = re.sub(DISCLAIMER, "", re.sub(r"\s+", " ", (alt or "").strip()), flags=re.I).strip()
-    poor = len(alt) < 3 or re.fullmatch(TRIVIAL_ALT, alt, re.I) or re.fullmatch(IMAGE_FILE, alt, re.I) or alt.lower().startswith("data:")
-    return None if poor else alt
+    """A description that a person wrote, without the note that a machine did; None for names of files and the like."""
+    said = re.sub(DISCLAIMER, "", " ".join((alt or "").split()), flags=re.I).strip()
+    return said if len(said) >= LEAST_ALT and not _MACHINE_ALT.fullmatch(said) else None
 
 
 def words(node: Node, gap: str = "") -> str:
@@ -65,11 +71,9 @@ def words(node: Node, gap: str = "") -> str:
 
 
 def language(*chunks: str) -> str:
-    for chunk in chunks:
-        m = re.search(r"""(?:^|[\s"'=])(?:language|lang|highlight)-([a-z0-9+#]{1,15})\b""", chunk, re.I) or re.search(r"""\bdata-lang(?:uage)?\s*=\s*["']?([a-z0-9+#]{1,15})""", chunk, re.I)
-        if m:
-            return m[1].lower()
-    return ""
+    """The language that the first of some attribute strings names, by class before data attribute."""
+    named = (m[1].lower() for chunk in chunks for pattern in (LANGUAGE_CLASS, LANGUAGE_DATA) if (m := re.search(pattern, chunk)))
+    return next(named, "")
 
 
 class _Walk:

@@ -187,20 +187,15 @@ def pptx_slides(content: bytes, options: Extract | None = None) -> tuple[list[tu
 
 def _once(slides: list[tuple[int, str | None, str]]) -> tuple[list[tuple[int, str | None, str]], int]:
     """Of a block that most slides have only its first copy stays; and how many went."""
-    on = Counter(block for _, _, text in slides for block in {b.strip() for b in text.split("\n\n")} - {""})
-    most = {b for b, n in on.items() if len(slides) >= REPEATED_SLIDES and n >= REPEATED_SHARE * len(slides)}
-    out, seen, gone = [], set(), 0
-    for number, title, text in slides:
-        kept = []
-        for block in text.split("\n\n"):
-            key = block.strip()
-            if key in most and key in seen:
-                gone += 1
-                continue
-            seen.add(key)
-            kept.append(block)
-        out.append((number, title, "\n\n".join(kept)))
-    return out, gone
+    blocks = [(slide, place, block, block.strip()) for slide, (_, _, text) in enumerate(slides) for place, block in enumerate(text.split("\n\n"))]
+    first, slides_of = {}, Counter({(slide, key) for slide, _, _, key in blocks if key})
+    on = Counter(key for _, key in slides_of)
+    for slide, place, _, key in blocks:
+        first.setdefault(key, (slide, place))
+    enough = max(REPEATED_SHARE * len(slides), 1) if len(slides) >= REPEATED_SLIDES else float("inf")
+    stay = [(slide, block) for slide, place, block, key in blocks if on[key] < enough or first[key] == (slide, place)]
+    texts = ["\n\n".join(block for at, block in stay if at == slide) for slide in range(len(slides))] if len(stay) < len(blocks) else [text for _, _, text in slides]
+    return [(number, title, text) for (number, title, _), text in zip(slides, texts)], len(blocks) - len(stay)
 
 
 @dataclass

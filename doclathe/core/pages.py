@@ -7,6 +7,8 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+
 from .clean import _INVISIBLE
 
 # fixed values
@@ -71,19 +73,31 @@ def _line(row: list[Item], origin: float, char: float) -> Line:
 
 
 def _gutter(rows: list[list[Item]]) -> tuple[float, float] | None:
-    """The one band between two columns of running text, if there is just one."""
-    def column(side) -> bool:
-        sizes = [n for row in rows if (n := sum(len(i.text) for i in row if side(i)))]
-        return len(sizes) >= COLUMN_LINES and upper_median(sizes) >= COLUMN_CHARS
-
-    edges = sorted({e for row in rows for i in row for e in (i.x, i.right)})
-    crossed = math.floor(len(rows) * (1 - CLEAR_SHARE))
-    bands = [
-        (a, b) for a, b in zip(edges, edges[1:])
-        if b - a >= GUTTER and sum(any(i.x < b and i.right > a for i in row) for row in rows) <= crossed
-        and column(lambda i, a=a: i.right <= a) and column(lambda i, b=b: i.x >= b)
-    ]
-    return bands[0] if len(bands) == 1 and len(rows) >= COLUMN_LINES else None
+    """The one band between two columns of running text, if there is just one.
+
+    The edges of all items cut the page into bands. A table of rows and wide bands tells which rows cross a band, and how
+    many characters each row has on either side of it.
+    """
+    if len(rows) < COLUMN_LINES:
+        return None
+    items = [(n, i) for n, row in enumerate(rows) for i in row]
+    edges = np.unique([e for _, i in items for e in (i.x, i.right)])
+    wide = np.flatnonzero(np.diff(edges) >= GUTTER)
+    start, end = edges[wide], edges[wide + 1]
+    crossed, left, right = (np.zeros((len(rows), len(wide)), np.int64) for _ in range(3))
+    for n, i in items:
+        before, after = i.right <= start, i.x >= end
+        crossed[n] |= ~before & ~after & (i.x < end) & (i.right > start)
+        left[n] += before * len(i.text)
+        right[n] += after * len(i.text)
+    open_ = crossed.sum(0) <= math.floor(len(rows) * (1 - CLEAR_SHARE))
+
+    def column(chars: np.ndarray) -> bool:
+        there = chars[chars > 0].tolist()
+        return len(there) >= COLUMN_LINES and upper_median(there) >= COLUMN_CHARS
+
+    found = [k for k in np.flatnonzero(open_) if column(left[:, k]) and column(right[:, k])]
+    return (float(start[found[0]]), float(end[found[0]])) if len(found) == 1 else None
 
 
 def lay_out(items: list[Item], height: float) -> list[Line]:
@@ -111,17 +125,22 @@ def lay_out(items: list[Item], height: float) -> list[Line]:
 
 
 def paragraphs(lines: list[Line]) -> str:
-    """Lines with an empty one where a paragraph ends: after a wide gap, a jump up, or a short last line before an indent."""
-    usual = upper_median(d for a, b in zip(lines, lines[1:]) if (d := a.y - b.y) > 0)
-    right = upper_median(x.right for x in lines)
-    width = right - upper_median(x.left for x in lines)
-    out: list[str] = []
-    for above, line in zip([None, *lines], lines):
-        if above is not None:
-            gap = above.y - line.y
-            short = width > 0 and line.left > above.left + INDENT and above.right < right - width * SHORT_LINE and re.search(SENTENCE_END, above.text.rstrip())
-            if gap < 0 or usual > 0 and gap > usual * PARAGRAPH_GAP or short:
-                out.append("")
+    """Lines with an empty one where a paragraph ends.
+
+    Lines of a paragraph follow each other downwards, no wider apart than usual; and a full last line, or a next one that
+    isn't indented, doesn't end it either.
+    """
+    steps = [a.y - b.y for a, b in zip(lines, lines[1:])]
+    usual = upper_median(s for s in steps if s > 0)
+    widest = usual * PARAGRAPH_GAP if usual > 0 else math.inf
+    margin = upper_median(x.right for x in lines)
+    width = margin - upper_median(x.left for x in lines)
+    full = margin - width * SHORT_LINE if width > 0 else -math.inf
+    out = [x.text for x in lines[:1]]
+    for step, above, line in zip(steps, lines, lines[1:]):
+        ended = above.right < full and re.search(SENTENCE_END, above.text.rstrip())
+        if not 0 <= step <= widest or ended and line.left - above.left > INDENT:
+            out.append("")
         out.append(line.text)
     return "\n".join(out)
 
