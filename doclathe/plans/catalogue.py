@@ -144,10 +144,13 @@ _add("estimate_tokens", lambda spark, d: _noisy(spark, d).select("doc_id", expr.
 _add("count_lines", lambda spark, d: _noisy(spark, d).select("doc_id", expr.count_lines("t").alias("lines")), f"SELECT doc_id, {_s_lines('t')} AS lines FROM (SELECT doc_id, {_NOISY} AS t FROM documents)")
 
 
+_MEASURED = {"chars": expr.utf16_length, "bytes": lambda c: F.octet_length(c).cast("long"), "lines": expr.count_lines, "tokens": expr.estimate_tokens}
+
+
 def _stats(spark, d):
-    rows = _noisy(spark, d).withColumn("u", expr.clean_fast("t")).select("doc_id", "lang", "source", expr.stats("t").alias("b"), expr.stats("u").alias("a"))
-    names = ("chars", "bytes", "lines", "tokens")
-    return rows.select("doc_id", "lang", "source", *[F.col(f"{k}.{n}").alias(f"{n}_{w}") for k, w in (("b", "before"), ("a", "after")) for n in names], expr.saved_pct("b.tokens", "a.tokens").alias("saved_pct"))
+    # a column for each measure, so that those nobody asks for aren't taken
+    rows = _noisy(spark, d).withColumn("u", expr.clean_fast("t"))
+    return _with_pct(rows.select("doc_id", "lang", "source", *[f(c).alias(f"{n}_{w}") for c, w in (("t", "before"), ("u", "after")) for n, f in _MEASURED.items()]))
 
 
 _S_STATS = f"""SELECT doc_id, lang, source, {', '.join(f"{f('t' if w == 'before' else 'u')} AS {n}_{w}" for w in ('before', 'after') for n, f in (('chars', _s_utf16), ('bytes', lambda c: f'strlen({c})::BIGINT'), ('lines', _s_lines), ('tokens', _s_tokens)))}
