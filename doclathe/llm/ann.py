@@ -141,14 +141,19 @@ class Forest:
         return got
 
 
-def exact(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products, summed component by component, so that equal vectors have equal scores."""
-    out = np.zeros((len(rows), len(queries)))
-    for j in range(rows.shape[1]):
-        out += np.multiply.outer(rows[:, j], queries[:, j])
+def exact_pairs(rows: np.ndarray, i: np.ndarray, queries: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i with queries j, summed component by component, so that equal vectors have equal scores."""
+    out = np.zeros(len(i))
+    for c in range(rows.shape[1]):
+        out += rows[i, c] * queries[j, c]
     return out
 
 
+def _firsts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place of each distinct pair of small numbers."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_index=True)[1]
+
+
 _PACK = "bucket int, side int, leaf binary, who binary, hash binary, vec binary, ids binary, n_ids binary"
 _PACK_NAMES = [c.split(" ")[0] for c in _PACK.split(", ")]
 
@@ -204,6 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     some = items.orderBy("hash").limit(SAMPLE).select("vec").collect()
     sample = np.array([np.frombuffer(r.vec, np.float64) for r in some]).reshape(-1, dim)
     most = items.mapInArrow(_longest(dim), "m double").agg(F.max("m")).collect()[0][0] or 1.0
+    longest = most
     grown = Forest(sample, max(2, round(LEAF * len(sample) / max(1, total))), trees, most)
     visits = _visits(items, asked, grown, dim, top, recall)
     forest = spark.sparkContext.broadcast(grown)
@@ -243,24 +249,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         vec, qvec, first = vec.reshape(-1, dim), qvec.reshape(-1, dim), np.cumsum(n_ids) - n_ids
         order, qorder = np.argsort(leaf, kind="stable"), np.argsort(qleaf, kind="stable")
         leaf, item, qleaf, ask = leaf[order], item[order], qleaf[qorder], ask[qorder]
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        slack = 8 * dim * np.finfo(float).eps * longest * np.linalg.norm(qvec, axis=1)
         for x in np.unique(qleaf):
             mine = item[slice(*np.searchsorted(leaf, [x, x + 1]))]
             asks = ask[slice(*np.searchsorted(qleaf, [x, x + 1]))]
             for a in range(0, len(asks) if len(mine) else 0, 256):
                 some = asks[a : a + 256]
-                scores = exact(vec[mine], qvec[some])
+                # a matrix product finds what may be among the best, allowing for its rounding; sums in order decide
+                scores = vec[mine] @ qvec[some].T
                 if len(mine) > top + 1:
                     edge = np.partition(scores, len(mine) - top - 1, axis=0)[len(mine) - top - 1]
-                    i, j = np.nonzero(scores >= edge)
+                    i, j = np.nonzero(scores >= edge - slack[some])
                 else:
                     i, j = (g.ravel() for g in np.indices(scores.shape))
-                found.append((some[j], mine[i], scores[i, j]))
-        q, i, score = (np.concatenate(x) for x in zip(*found))
-        # a query or an entry may have come in several packs: hashes name them
-        q, score = qh[q], score
-        _, one = np.unique(np.stack([q, ih[i]], axis=1), axis=0, return_index=True) if len(q) else (None, np.zeros(0, np.int64))
-        q, i, score = q[one], i[one], score[one]
+                found.append((some[j], mine[i]))
+        q, i = (np.concatenate(x) for x in zip(*found))
+        # an entry has leaves in several trees, and may have come in several packs, as a query may: hashes name them
+        (_, ask_of), (_, item_of) = (np.unique(x, return_inverse=True) for x in (qh, ih))
+        one = _firsts(ask_of[q], item_of[i])
+        q, i = q[one], i[one]
+        score = exact_pairs(vec, i, qvec, q)
+        q = qh[q]
         n = n_ids[i]
         listed = ids[np.repeat(first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         return _ranked(np.repeat(q, n), listed, np.repeat(score, n), top + 1, ["hash", "ids", "scores"])
@@ -273,7 +283,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         lists = table.column("ids").combine_chunks()
         q = np.repeat(np.asarray(table.column("q"), np.int64), np.asarray(lists.value_lengths(), np.int64))
         ids, scores = np.asarray(lists.flatten(), np.int64), np.asarray(table.column("scores").combine_chunks().flatten(), np.float64)
-        _, one = np.unique(np.stack([q, ids], axis=1), axis=0, return_index=True) if len(q) else (None, np.zeros(0, np.int64))
+        one = _firsts(np.unique(q, return_inverse=True)[1], np.unique(ids, return_inverse=True)[1])
         return _ranked(q[one], ids[one], scores[one], top + 1, ["q", "found", "scores"])
 
     best = pairs.groupBy("bucket").applyInArrow(combine, "q long, found array<long>, scores array<double>")
@@ -296,7 +306,7 @@ def _visits(items: DataFrame, asked: DataFrame, forest: Forest, dim: int, top: i
     def near(batches):
         for batch in batches:
             h, vec = np.asarray(batch.column("hash"), np.int64), batch.column("vec")
-            scores = exact(_rows(vec, dim), queries)
+            scores = _rows(vec, dim) @ queries.T
             scores[h[:, None] == hashes] = -np.inf
             k = min(top, len(h))
             best = np.argpartition(-scores, k - 1, axis=0)[:k] if k else np.zeros((0, len(hashes)), np.int64)
