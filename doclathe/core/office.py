@@ -6,6 +6,7 @@ import functools
 import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from collections import Counter
@@ -31,6 +32,7 @@ SPACES = {
 }
 BODY_HOLDERS = ("body", "subTitle", "obj", "tbl", "chart", "clipArt", "dgm", "media", "pic")
 REPEATED_SLIDES, REPEATED_SHARE = 4, 0.6
+HEAD, HEAD_PACKED, PIECE = 4096, 4096, 4096
 CHROME_FIELD, DEEPEST_LEVEL = r"(?i)slidenum|datetime[0-9]*|ftr|hdr", 8
 # end of fixed values
 
@@ -47,7 +49,7 @@ class Package:
             self.zip = zipfile.ZipFile(io.BytesIO(content))
         except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
             raise Unreadable(f"not a readable zip: {e}") from None
-        self.left = MOST_INFLATED
+        self.content, self.left = content, MOST_INFLATED
         self.parts = {i.filename: i for i in self.zip.infolist()}  # of equal names the last
 
     def read(self, name: str) -> bytes | None:
@@ -65,6 +67,28 @@ class Package:
         self.left -= len(data)
         return data
 
+    def head(self, name: str, n: int) -> bytes:
+        """The first n bytes of a part, as far as its first packed ones hold them; nothing where these can't be read."""
+        info = self.parts.get(name)
+        if info is None or info.flag_bits & 1:
+            return b""
+        try:
+            names, extra = struct.unpack_from("<HH", self.content, info.header_offset + 26)
+            begin = info.header_offset + 30 + names + extra
+            packed = self.content[begin : begin + min(info.compress_size, HEAD_PACKED)]
+            if info.compress_type == zipfile.ZIP_STORED:
+                return packed[:n]
+            return zlib.decompressobj(-15).decompress(packed, n) if info.compress_type == zipfile.ZIP_DEFLATED else b""
+        except (struct.error, zlib.error):
+            return b""
+
+    def root_attributes(self, name: str) -> dict[str, str] | None:
+        """The attributes of a part's outermost tag, from the head of the part where that holds the whole tag."""
+        if name not in self.parts:
+            return None
+        found = root_attributes(self.head(name, HEAD), whole=False)
+        return found if found is not None else root_attributes(self.read(name))
+
     def xml(self, name: str) -> Tag | None:
         data = self.read(name)
         return None if data is None else parse_xml(data)
@@ -144,6 +168,31 @@ def parse_xml(data: bytes) -> Tag:
     return top.kids[0]
 
 
+def root_attributes(data: bytes, whole: bool = True) -> dict[str, str] | None:
+    """The attributes of the outermost tag, from as many pieces of the data as it takes to see that tag; None if it isn't in what is the head only."""
+    parser, seen = expat.ParserCreate(namespace_separator=" "), []
+
+    def start(_, attrs):
+        if not seen:
+            seen.append({_short(k): v for k, v in attrs.items()})
+
+    def refuse(*_):
+        raise Unreadable("a document type declaration isn't read")
+
+    parser.StartElementHandler, parser.StartDoctypeDeclHandler = start, refuse
+    try:
+        for at in range(0, len(data), PIECE):
+            parser.Parse(data[at : at + PIECE], False)
+            if seen:
+                return seen[0]
+        if whole:  # the parser may have waited for more of a long tag
+            parser.Parse(b"", True)
+    except expat.ExpatError as e:
+        if not seen:
+            raise Unreadable(f"malformed XML: {e}") from None
+    return seen[0] if seen else None
+
+
 # PowerPoint
 
 
@@ -165,12 +214,13 @@ def pptx_slides(content: bytes, options: Extract | None = None) -> tuple[list[tu
     out, skipped = [], 0
     for number in chosen:
         part = links.get(refs[number - 1].attrs.get("r:id", ""), ("", ""))[1]
-        slide = package.xml(part) if part else None
-        if slide is None:
+        shown = package.root_attributes(part)
+        if shown is None:
             continue
-        if slide.attrs.get("show") in ("0", "false") and not options.hidden_content:
+        if shown.get("show") in ("0", "false") and not options.hidden_content:
             skipped += 1
             continue
+        slide = package.xml(part)
         tree = slide.first("p:cSld", "p:spTree")
         reading = Reading(package, package.links(part), _inherited(package, part, styles), canvas, options, notes)
         title, text = reading.slide(tree) if tree else (None, "")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core.options import preset
 from ..functions import expr, udfs
+from ..operators import pages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,6 +112,97 @@ _add(
 )
 
 
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _paragraph(text: str, props: str = "") -> str:
+    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def _docx_parts(texts: list[str]) -> dict[str, str]:
+    """A heading for each text, by its style, and the text as an item of a numbered list."""
+    body = "".join(_paragraph(f"Part {n}", '<w:pStyle w:val="H"/>') + _paragraph(t, '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>') for n, t in enumerate(texts, 1))
+    return {
+        "word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>",
+        "word/styles.xml": f'<w:styles {_W}><w:style w:styleId="H"><w:name w:val="heading 2"/></w:style></w:styles>',
+        "word/numbering.xml": f'<w:numbering {_W}><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>',
+    }
+
+
+def _docx_table(texts: list[str]) -> dict[str, str]:
+    rows = [("place", "words"), *((str(n), t) for n, t in enumerate(texts, 1))]
+    cells = "".join("<w:tr>" + "".join(f"<w:tc>{_paragraph(c)}</w:tc>" for c in row) + "</w:tr>" for row in rows)
+    return {"word/document.xml": f"<w:document {_W}><w:body><w:tbl>{cells}</w:tbl></w:body></w:document>"}
+
+
+def _one_slide(shapes: str, links: str = "", **parts: str) -> dict[str, str]:
+    """A deck of one slide."""
+    spaces = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"'
+    related = lambda inner: f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{inner}</Relationships>'
+    return {
+        "ppt/presentation.xml": f'<p:presentation {spaces}><p:sldIdLst><p:sldId r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": related('<Relationship Id="r1" Type="x/slide" Target="slides/s1.xml"/>'),
+        "ppt/slides/s1.xml": f"<p:sld {spaces}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>",
+        "ppt/slides/_rels/s1.xml.rels": related(links),
+    } | {f"ppt/charts/{name}.xml": f"<c:chartSpace {spaces}>{body}</c:chartSpace>" for name, body in parts.items()}
+
+
+def _pptx_table(texts: list[str]) -> dict[str, str]:
+    cell = lambda t: f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    rows = "".join(f"<a:tr>{cell(n)}{cell(t)}</a:tr>" for n, t in [("place", "words"), *enumerate(texts, 1)])
+    return _one_slide(f"<p:graphicFrame><a:graphic><a:graphicData><a:tbl>{rows}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>")
+
+
+def _pptx_list(texts: list[str]) -> dict[str, str]:
+    """Bullets by turns on the first and second level; a slide number, which goes."""
+    items = "".join(f'<a:p><a:pPr lvl="{n % 2}"><a:buChar char="x"/></a:pPr><a:r><a:t>{t}</a:t></a:r></a:p>' for n, t in enumerate(texts))
+    number = '<p:sp><p:nvSpPr><p:nvPr><p:ph type="sldNum"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>7</a:t></a:r></a:p></p:txBody></p:sp>'
+    return _one_slide(f"{number}<p:sp><p:txBody>{items}</p:txBody></p:sp>")
+
+
+def _pptx_chart(texts: list[str]) -> dict[str, str]:
+    points = "".join(f'<c:pt idx="{n}"><c:v>{t}</c:v></c:pt>' for n, t in enumerate(texts))
+    series = f"<c:ser><c:tx><c:v>Said</c:v></c:tx><c:cat><c:strRef><c:strCache>{points}</c:strCache></c:strRef></c:cat><c:val><c:numRef><c:numCache><c:pt idx=\"0\"><c:v>1</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser>"
+    chart = f"<c:chart><c:title><c:tx><c:rich><a:p><a:r><a:t>Turns</a:t></a:r></a:p></c:rich></c:tx></c:title><c:plotArea><c:barChart>{series}</c:barChart></c:plotArea></c:chart>"
+    frame = '<p:graphicFrame><a:graphic><a:graphicData><c:chart r:id="c1"/></a:graphicData></a:graphic></p:graphicFrame>'
+    return _one_slide(frame, '<Relationship Id="c1" Type="x/chart" Target="../charts/one.xml"/>', one=chart)
+
+
+_NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {_WORDS} WHERE t <> '')"
+
+
+def _in_order(format_: str, piece: str, between: str, head: str = "''") -> str:
+    return f"SELECT conv_id, '{format_}' AS format, {head} || string_agg({piece}, {between} ORDER BY n) AS text FROM {_NUMBERED} GROUP BY 1"
+
+
+_GRID = "'| place | words |' || chr(10) || '| --- | --- |' || chr(10)"
+_GRID_ROW = "'| ' || n || ' | ' || replace(t, '|', chr(92) || '|') || ' |'"
+_add("docx_headings_lists", _read_packages(_docx_parts, "a.docx"), _in_order("docx", "'## Part ' || n || chr(10) || chr(10) || '1. ' || t", "chr(10) || chr(10)"))
+_add("docx_tables", _read_packages(_docx_table, "a.docx"), _in_order("docx", _GRID_ROW, "chr(10)", _GRID))
+_add("pptx_tables", _read_packages(_pptx_table, "a.pptx"), _in_order("pptx", _GRID_ROW, "chr(10)", _GRID))
+_add("pptx_lists", _read_packages(_pptx_list, "a.pptx"), _in_order("pptx", "CASE WHEN n % 2 = 0 THEN '  ' ELSE '' END || '- ' || t", "chr(10)"))
+_add("pptx_charts", _read_packages(_pptx_chart, "a.pptx"), f"SELECT conv_id, 'pptx' AS format, 'Turns' || chr(10) || chr(10) || '- Category: ' || string_agg(t, ', ' ORDER BY n) || chr(10) || '- Series: Said' AS text FROM {_NUMBERED} WHERE n <= 60 GROUP BY 1")
+_add(
+    "rtf_tables",
+    lambda spark, d: _joined(_turns(spark, d), F.concat(F.lit("\\trowd "), F.col("turn").cast("string"), F.lit("\\cell "), F.regexp_replace("t", r"([\\{}])", r"\\$1"), F.lit("\\cell\\row "))).select("conv_id", udfs.rtf_to_text(F.concat(F.lit("{\\rtf1\\ansi\\trowd place\\cell words\\cell\\row "), F.col("s"), F.lit("}"))).alias("text")),
+    f"SELECT conv_id, {_GRID} || text AS text FROM (" + _per_conversation("chr(10)", "'| ' || turn || ' | ' || replace(t, '|', chr(92) || '|') || ' |'") + ")",
+)
+
+
+# a page of two columns for each document: ten lines of each, which share their heights
+def _columns(spark, d):
+    lines = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    items = lines.select("doc_id", "k", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.lit(72.0).alias("x")), F.struct(F.lit("right").alias("side"), F.lit(330.0).alias("x")))).alias("p"))
+    text = F.concat("p.side", F.lit(" words of line "), "k", F.lit(" of document "), "doc_id")
+    items = items.select("doc_id", F.lit(1).alias("page"), text.alias("text"), "p.x", (600.0 - 12.0 * F.col("k")).alias("y"))
+    items = items.select("*", (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.lit(792.0).alias("page_height"))
+    return pages.page_texts(pages.page_lines(items))
+
+
+_COLUMN = "array_to_string(list_transform(range(0, 10), lambda k: '{side} words of line ' || k || ' of document ' || doc_id), chr(10))"
+_add("page_columns", _columns, f"SELECT doc_id, 1 AS page, {_COLUMN.format(side='left')} || chr(10) || chr(10) || {_COLUMN.format(side='right')} AS text FROM documents")
+
+
 # meetings of two people who take turns
 def _meeting(spark, d):
     spoken = F.when(F.col("turn") % 2 == 0, "Ann Lee").otherwise("Ray, Bob")

@@ -65,6 +65,17 @@ def test_transcript():
     assert "\n" in transcript.tidy("Ann Lee: " + "w " * 120) and transcript.clock(0, 75, 3) == "1:15:03"
 
 
+def test_heads_of_parts():
+    long = "<a " + "".join(f' x{n}="{n * n}"' for n in range(3000)) + ">"
+    p = office.Package(package({"s.xml": '<p show="0"><q/></p><broken', "long.xml": long + "</a>", "none.xml": "", "bad.xml": "<<"}))
+    assert p.head("s.xml", 5) == b"<p sh" and p.head("missing", 5) == b"" and len(p.head("long.xml", 9000)) == 9000
+    assert p.root_attributes("s.xml") == {"show": "0"} and p.root_attributes("missing") is None
+    assert p.root_attributes("long.xml")["x2999"] == str(2999 * 2999)
+    for bad in ("none.xml", "bad.xml"):
+        with pytest.raises(office.Unreadable):
+            p.root_attributes(bad)
+
+
 def test_ranges():
     assert options.parse_ranges("3-7, 12") == [(3, 7), (12, 12)]
     for bad in ("0", "7-3", "a", "", "1-"):
