@@ -8,10 +8,12 @@
 3. N-grams are ordered over the corpus by document count, rarest first. Linked sets share one of the first
    size - ceil(threshold * size) + 1 in this order: representatives that share one of those are candidates, and
    the components of candidates are cut into groups of bounded size.
-4. In each group, the sets in global order are stored in a prefix tree, whose paths share the overlap with a query.
-   Subtrees are pruned by the overlap that their remaining lengths allow, and where all is linked already.
-5. A candidate component over ``MOST`` sets is cut into blocks, each joined within itself, then with the first block, which
-   links most of what is one. Beyond that only grams of the prefixes matter whose sets aren't linked yet: the sets
+4. In each group, the sets in one order (the group's rarest n-grams first) are stored in a prefix tree, whose paths share
+   the overlap with a query. Subtrees are pruned by the overlap that their remaining lengths allow, and where no set
+   is left that shares a first n-gram and isn't linked already. The tree is arrays, passed through level by level.
+5. A candidate component over ``MOST`` sets or ``MOST_BYTES`` is cut into blocks, each joined within itself, then with the
+   first block, which links most of what is one. Where sets are left that aren't linked, each block meets each other one
+   if there are up to ``PAIRED``. Beyond that only grams of the prefixes matter whose sets aren't linked yet: the sets
    of each such gram are a group (equal groups are one), groups over ``MOST`` are parted by size, as linked sets
    have sizes within the threshold of each other, and cut into blocks. No link is lost, no pairs are listed.
 
@@ -24,7 +26,6 @@ are ignored. N-grams are 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,11 @@ from .components import connected_components
 
 NGRAM = 5
 PERCENT = 80
-#: Sets in a group, at most (twice as many where two blocks meet).
-MOST = 500
+#: Sets in a block and bytes of their n-grams, at most (a group is one block or two).
+MOST = 4000
+MOST_BYTES = 24 << 20
+#: Components of candidates of at most so many blocks compare each block with each other one.
+PAIRED = 64
 BATCH_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 
@@ -65,7 +69,7 @@ def ngram_hashes(texts, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ROWS = "key int, batch string, kind string, a binary, b binary, c binary, d binary"
-_SETS = "doc_id long, n long, s1 long, s2 long, grams binary, counts binary"
+_SETS = "doc_id long, n long, s1 long, s2 long, grams binary"
 
 
 def _table(ddl: str, rows: list[tuple]) -> pa.Table:
@@ -100,7 +104,7 @@ def sets_of(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (the set's signature), grams and counts (what is shared, rarest first; null where too little)."""
+    """doc_id, n (set size), s1 and s2 (the set's signature), grams (what is shared, rarest first; null where too little)."""
     parts = max(16, 2 * partitions(docs.sparkSession))
     bounds = np.array([i * (1 << 64) // parts for i in range(parts)], np.uint64)
 
@@ -146,7 +150,7 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
         none = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
         h, doc, many = (np.concatenate([*x, *y]) for x, y in zip(none, ([from_planes(r["a"], np.uint64) for r in grams], [np.frombuffer(r["b"], np.uint16) for r in grams], [np.frombuffer(r["c"], np.uint32) for r in grams])))
         order = np.lexsort((h, many, doc))
-        h, doc, many = h[order], doc[order], many[order]
+        h, doc = h[order], doc[order]
         for r in rows:
             if r["kind"] != "docs":
                 continue
@@ -155,7 +159,7 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
             for i in range(len(ids)):
                 k = slice(at[i], at[i + 1])
                 enough = size[i] > 0 and 100 * (at[i + 1] - at[i]) >= percent * size[i] and ids[i] != _NO_ID
-                out.append((None if ids[i] == _NO_ID else int(ids[i]), int(size[i]), int(s1[i]), int(s2[i]), h[k].tobytes() if enough else None, many[k].tobytes() if enough else None))
+                out.append((None if ids[i] == _NO_ID else int(ids[i]), int(size[i]), int(s1[i]), int(s2[i]), h[k].tobytes() if enough else None))
         trim_memory()
         return _table(_SETS, out)
 
@@ -170,124 +174,132 @@ def needed(nx: int, ny: int, percent: int) -> int:
 
 
 class Union:
+    """Components as a label of each member: the smallest member of its component."""
+
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.root = np.arange(n)
 
     def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+        return int(self.root[x])
 
     def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
+        x, y = self.root[x], self.root[y]
         if x != y:
-            self.up[max(x, y)] = min(x, y)
+            self.root[self.root == max(x, y)] = min(x, y)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 class PrefixTree:
-    """Sets in global order as a radix tree over their sorted sequence."""
-
-    def __init__(self, sets: list[list[int]], sizes: list[int]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i])
-        self.sets, self.sizes = sets, sizes
-        # node: lo, hi (in the order), depth at its start and end, most remaining length below, least and most set size, children, a member if all are linked
-        self.root = self._grow(0, len(sets), 0) if sets else None
-
-    def _grow(self, lo: int, hi: int, depth: int) -> list:
-        todo, root = [], [lo, hi, depth, 0, 0, 0, 0, [], None]
-        todo.append(root)
-        sets, order = self.sets, self.order
-        while todo:
-            node = todo.pop()
+    """Sets in global order as a radix tree over their sorted sequence, in arrays; a node's children follow one another."""
+
+    def __init__(self, sets: list, sizes: list[int]):
+        self.sets, self.sizes = [np.asarray(s, np.int64) for s in sets], np.asarray(sizes, np.int64)
+        keys = [s.astype(">u4").tobytes() for s in self.sets]
+        self.order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        ordered = [self.sets[i] for i in self.order]
+        self.mark = np.zeros(max((int(s[-1]) + 1 for s in ordered if len(s)), default=1), bool)
+        length = np.array([len(s) for s in ordered], np.int64)
+        shared = np.zeros(len(ordered), np.int64)  # with the set before
+        for i in range(1, len(ordered)):
+            a, b = ordered[i - 1], ordered[i]
+            m = min(len(a), len(b))
+            other = a[:m] != b[:m]
+            k = int(other.argmax()) if m else 0
+            shared[i] = k if m and other[k] else m
+        size = self.sizes[self.order]
+        # node: lo, hi (in the order), depth at its start and end, its children; most remaining length below, least set size, last of its path
+        nodes, rest, low, last, paths = [[0, len(ordered), 0, 0, 0, 0]] if ordered else [], [], [], [], []
+        for node in nodes:
             lo, hi, depth = node[:3]
-            a, b = sets[order[lo]], sets[order[hi - 1]]
-            end, most = depth, min(len(a), len(b))
-            while end < most and a[end] == b[end]:
-                end += 1
-            members = order[lo:hi]
+            end = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else int(length[lo])
+            path = ordered[lo]
             node[3] = end
-            node[4] = max(len(sets[m]) for m in members) - end
-            node[5], node[6] = min(self.sizes[m] for m in members), max(self.sizes[m] for m in members)
-            if hi - lo == 1 or a == b:
-                continue
-            at = lo
-            while at < hi:
-                key = sets[order[at]][end : end + 1]
-                to = at + 1
-                while to < hi and sets[order[to]][end : end + 1] == key:
-                    to += 1
-                child = [at, to, end, 0, 0, 0, 0, [], None]
-                node[7].append(child)
-                todo.append(child)
-                at = to
-        return root
+            rest.append(int(length[lo:hi].max()) - end)
+            low.append(int(size[lo:hi].min()))
+            last.append(int(path[end - 1]) if end else -1)
+            paths.append(path[depth:end])
+            node[4] = node[5] = len(nodes)
+            if hi - lo > 1:
+                cut = [lo, *(np.flatnonzero(shared[lo + 1 : hi] == end) + lo + 1).tolist(), hi]
+                nodes.extend([x, y, end, 0, 0, 0] for x, y in zip(cut, cut[1:]))
+                node[5] = len(nodes)
+        self.lo, self.hi, _, _, self.first, self.past = np.array(nodes, np.int64).reshape(-1, 6).T
+        self.rest, self.low, self.last = (np.array(x, np.int64) for x in (rest, low, last))
+        self.path = np.concatenate(paths) if paths else np.zeros(0, np.int64)
+        self.at = np.cumsum([0, *map(len, paths)])
+        self.index: dict = {}
+
+    def sharing(self, x: int, percent: int) -> np.ndarray:
+        """Which sets have one of x's first grams among their own first ones; linked sets do."""
+        if percent not in self.index:
+            n = self.sizes
+            have = np.array([len(s) for s in self.sets], np.int64)
+            take = np.clip(have - -(-percent * n // 100) + 1, 0, have)  # grams that no set shares come first and aren't here
+            grams = np.concatenate([s[:k] for s, k in zip(self.sets, take)])
+            order = np.argsort(grams, kind="stable")
+            self.index[percent] = take, grams[order], np.repeat(np.arange(len(n)), take)[order]
+        take, grams, who = self.index[percent]
+        mine = self.sets[x][: take[x]]
+        start, end = np.searchsorted(grams, mine), np.searchsorted(grams, mine, side="right")
+        out = np.zeros(len(self.sets), bool)
+        out[who[_ranges(start, end - start)]] = True
+        return out
 
     def link(self, x: int, union: Union, percent: int, allowed) -> None:
-        """Join x with the sets that it is linked to and not yet joined with; pairs (x, y) with allowed(x, y)."""
-        mine, nx, sets, order, sizes = self.sets[x], self.sizes[x], self.sets, self.order, self.sizes
-        has = set(mine)
+        """Join x with the sets that it is linked to and not yet joined with; pairs (x, y) with allowed(x, y), of which y is an array."""
+        mine, nx = self.sets[x], int(self.sizes[x])
         least_y, most_y = -(-percent * nx // 100), 100 * nx // percent
-        stack = [(self.root, 0, False)]
-        while stack:
-            node, overlap, after = stack.pop()
-            if after:  # all below are one component now?
-                below = [c[8] for c in node[7]]
-                if None not in below and len({union.find(b) for b in below}) == 1:
-                    node[8] = below[0]
-                continue
-            if node[8] is not None and union.find(node[8]) == union.find(x):
-                continue
-            lo, hi, depth, end, rest, low, high = node[:7]
-            if high < least_y or low > most_y:
-                continue
-            path = sets[order[lo]]
-            for k in range(depth, end):
-                if path[k] in has:
-                    overlap += 1
-            left = len(mine) - (bisect_right(mine, path[end - 1]) if end else 0)
-            if overlap + min(left, rest) < needed(nx, max(low, least_y), percent):
-                continue
-            if node[7]:
-                stack.append((node, 0, True))
-                stack.extend((c, overlap, False) for c in node[7])
-                continue
-            total = overlap + sum(t in has for t in path[end:])
-            for y in order[lo:hi]:
-                if y != x and allowed(x, y) and total >= needed(nx, sizes[y], percent):
-                    union.join(x, y)
-            if hi - lo == 1 or len({union.find(y) for y in order[lo:hi]}) == 1:
-                node[8] = order[lo]
-
-
-def linked(sets: list[tuple[int, np.ndarray, np.ndarray, int, int]], percent: int) -> list[tuple[int, int]]:
-    """Links that join (size, grams, counts, label, side) sets: sets of one label are joined already; of sides 0 and 1
-    pairs across are compared, of side 2 all pairs."""
-    grams = np.concatenate([s[1] for s in sets])
-    counts = np.concatenate([s[2] for s in sets])
-    every, at, where = np.unique(grams, return_index=True, return_inverse=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, counts[at]))] = np.arange(len(every))
+        asked = (union.root != union.root[x]) & (self.sizes >= least_y) & (self.sizes <= most_y) & allowed(x, np.arange(len(self.sets)))
+        if not asked.any():
+            return
+        asked &= self.sharing(x, percent)
+        before = np.concatenate([[0], np.cumsum(asked[self.order])])
+        self.mark[mine] = True
+        node, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        while len(node):
+            some = before[self.hi[node]] > before[self.lo[node]]  # below is one that is asked
+            node, overlap = node[some], overlap[some]
+            size = self.at[node + 1] - self.at[node]
+            hits = np.concatenate([[0], np.cumsum(self.mark[self.path[_ranges(self.at[node], size)]])])
+            to = np.cumsum(size)
+            overlap = overlap + hits[to] - hits[to - size]
+            left = len(mine) - np.searchsorted(mine, self.last[node], side="right")
+            enough = overlap + np.minimum(left, self.rest[node]) >= needed(nx, np.maximum(self.low[node], least_y), percent)
+            node, overlap = node[enough], overlap[enough]
+            children = self.past[node] - self.first[node]
+            y = self.order[self.lo[node[children == 0]]]
+            found.append(y[asked[y] & (overlap[children == 0] >= needed(nx, self.sizes[y], percent))])
+            node, overlap = _ranges(self.first[node], children), np.repeat(overlap, children)
+        self.mark[mine] = False
+        for y in np.concatenate(found):
+            union.join(x, y)
+
+
+def linked(sets: list[tuple[int, np.ndarray, int, int]], percent: int) -> list[tuple[int, int]]:
+    """Links that join (size, grams, label, side) sets: sets of one label are joined already; of sides 0 and 1
+    pairs across are compared, of side 2 all pairs. The rarest grams of these sets come first."""
+    _, where, counts = np.unique(np.concatenate([s[1] for s in sets]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
     ranks, ordered, a = rank[where], [], 0
     for s in sets:
-        ordered.append(np.sort(ranks[a : a + len(s[1])]).tolist())
+        ordered.append(np.sort(ranks[a : a + len(s[1])]))
         a += len(s[1])
     union, first = Union(len(sets)), {}
     for i, s in enumerate(sets):
-        union.join(first.setdefault(s[3], i), i)
+        union.join(first.setdefault(s[2], i), i)
     tree = PrefixTree(ordered, [s[0] for s in sets])
-    side = [s[4] for s in sets]
-    allowed = lambda x, y: side[x] == 2 or side[x] != side[y]
-    asking = [x for x in range(len(sets)) if side[x] != 0] if any(k != 2 for k in side) else range(len(sets))
-    for x in asking:
-        tree.link(x, union, percent, allowed)
+    side = np.array([s[3] for s in sets])
+    allowed = lambda x, y: y > x if side[x] == 2 else side[y] != side[x]
+    for x in np.flatnonzero(side != 0):
+        tree.link(int(x), union, percent, allowed)
     return [(i, union.find(i)) for i in range(len(sets))]
 
 
-_GROUP = "doc_id long, n long, grams binary, counts binary, comp long, label long, side int"
-
-
 def _join_groups(percent: int):
     """For each candidate component of a group: (doc, root) links. Sets of one component share their group's trees only."""
     def run(table: pa.Table) -> pa.Table:
@@ -297,8 +309,9 @@ def _join_groups(percent: int):
         out = []
         for rows in comps.values():
             rows.sort(key=lambda r: (r["doc_id"], r["side"]))
-            sets = [(r["n"], np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["counts"], np.uint32), r["label"], r["side"]) for r in rows]
+            sets = [(r["n"], np.frombuffer(r["grams"], np.uint64), r["label"], r["side"]) for r in rows]
             out += [(rows[i]["doc_id"], rows[j]["doc_id"]) for i, j in linked(sets, percent) if rows[i]["doc_id"] != rows[j]["doc_id"]]
+        trim_memory()
         return _table("a long, b long", out)
     return run
 
@@ -334,24 +347,25 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, most: int = MOST) -> Da
     members = some.select("doc_id", "n", "s1", "s2").distinct().join(classes, ["n", "s1", "s2"]).select("doc_id", "rep")
     # one row per set: the representative's
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "s1", "s2", "doc_id"], "left_semi")
-    reps = written(reps.groupBy("doc_id", "n", "s1", "s2").agg(F.first("grams").alias("grams"), F.first("counts").alias("counts")), "jaccard-reps")
+    reps = written(reps.groupBy("doc_id", "n", "s1", "s2").agg(F.first("grams").alias("grams")), "jaccard-reps")
     tokens = reps.mapInArrow(_prefixes(percent), "gram long, doc_id long")
     roots = tokens.groupBy("gram").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "b")
     near = tokens.join(roots, "gram").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     comps = written(connected_components(near), "jaccard-candidates")
-    sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
-    placed = reps.join(comps.join(sizes, "root"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "grams", "counts", F.col("root").alias("comp"), "k")
-    blocks = F.ceil(F.col("k") / most)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") * 8 / MOST_BYTES))
+    sizes = written(reps.select("doc_id", "n").join(comps, F.col("doc_id") == F.col("node")).groupBy("root").agg(blocks.alias("blocks")), "jaccard-sizes")
+    placed = reps.join(comps.join(sizes, "root"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "grams", F.col("root").alias("comp"), "blocks")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     groups = max(partitions(spark), 1) * 4
-    small = F.col("k") <= most
+    small = F.col("blocks") == 1
     inner = placed.withColumn("g", F.when(small, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", "block")))
-    inner = inner.select(F.col("g"), "doc_id", "n", "grams", "counts", "comp", F.col("doc_id").alias("label"), F.lit(2).alias("side"))
+    inner = inner.select(F.col("g"), "doc_id", "n", "grams", "comp", F.col("doc_id").alias("label"), F.lit(2).alias("side"))
     links = written(_joined(inner, percent), "jaccard-links")
-    if sizes.where(~small).limit(1).count():
-        links = _large(placed.where(~small), tokens, links, percent, most)
+    largest = sizes.agg(F.max("blocks")).collect()[0][0] or 0
+    if largest > 1:
+        links = _large(placed.where(~small), tokens, links, percent, most, largest)
     out = connected_components(links.unionByName(members.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    for done in (links, comps, reps):
+    for done in (links, sizes, comps, reps):
         discard(done)
     return out
 
@@ -360,21 +374,31 @@ def _joined(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("g").applyInArrow(lambda t: _join_groups(percent)(t), "a long, b long")
 
 
-def _large(placed: DataFrame, tokens: DataFrame, links: DataFrame, percent: int, most: int) -> DataFrame:
+def _large(placed: DataFrame, tokens: DataFrame, links: DataFrame, percent: int, most: int, largest: int) -> DataFrame:
     """Links beyond the blocks of candidate components that are too large for one group."""
     def labelled(found: DataFrame) -> DataFrame:
         comp = connected_components(found)
         return written(placed.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc_id")).drop("node", "root"), "jaccard-labels")
 
-    own = ["doc_id", "n", "grams", "counts", "comp", "label"]
+    own = ["doc_id", "n", "grams", "comp", "label"]
     rows = labelled(links)
     # the first block with each other one
-    last = F.ceil(F.col("k") / most) - 1
-    hub = rows.where("block = 0").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), last.cast("long")))).select(F.xxhash64("comp", "j").alias("g"), *own, F.lit(0).alias("side"))
+    last = (F.col("blocks") - 1).cast("long")
+    hub = rows.where("block = 0").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), last))).select(F.xxhash64("comp", "j").alias("g"), *own, F.lit(0).alias("side"))
     rest = rows.where("block > 0").select(F.xxhash64("comp", F.col("block").cast("long")).alias("g"), *own, F.lit(1).alias("side"))
     links = links.unionByName(_joined(hub.unionByName(rest), percent))
     links = written(links, "jaccard-links")
+    if largest == 2:
+        return links
     rows = labelled(links)
+    # of a few blocks each with each other one, where several labels are left
+    left = rows.groupBy("comp").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("comp")
+    pairs = rows.where((F.col("blocks") <= PAIRED) & (F.col("block") > 0)).join(left, "comp", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), last))).where("j != block")
+    pairs = pairs.select(F.xxhash64("comp", F.least(F.col("block").cast("long"), "j"), F.greatest(F.col("block").cast("long"), "j")).alias("g"), *own, (F.col("block") > F.col("j")).cast("int").alias("side"))
+    links = written(links.unionByName(_joined(pairs, percent)), "jaccard-links")
+    if largest <= PAIRED:
+        return links
+    rows = rows.where(F.col("blocks") > PAIRED)
     # grams of prefixes whose sets have several labels; of grams with the same sets one
     marked = tokens.join(rows.select("doc_id", "label"), "doc_id")
     who = F.xxhash64("doc_id")

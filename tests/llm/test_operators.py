@@ -139,6 +139,23 @@ def test_ngram_join_of_chained_clusters(spark):
     assert got == brute_components(rows) and len({c for _, _, c in got}) > 6
 
 
+def test_ngram_join_moves_each_set_of_some_hundreds_once(spark, monkeypatch):
+    """Candidates of each other by common passages, none of them linked, more than 500."""
+    rng = random.Random(21)
+    passages = [words(rng, 40) for _ in range(14)]
+    some = rng.sample(list(itertools.combinations(range(14), 4)), 600)
+    docs = spark.createDataFrame([(i, " ".join(passages[k] for k in c), "en", "s", 1) for i, c in enumerate(some)], DOCS)
+    moved, joined = [], ngram_join._joined
+    monkeypatch.setattr(ngram_join, "_joined", lambda groups, percent: moved.append(groups.count()) or joined(groups, percent))
+    assert all(r.component_id == r.doc_id for r in ngram_join.near_duplicates(docs).collect())
+    assert 500 < sum(moved) <= 600
+
+
+def test_ngram_join_of_many_blocks_goes_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED", 1)
+    test_ngram_join_of_chained_clusters(spark)
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(5)
     for _ in range(30):
