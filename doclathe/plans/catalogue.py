@@ -272,7 +272,8 @@ def _positioned(spark, d):
 _add("page_lines", lambda spark, d: _pages.page_lines(_positioned(spark, d)))
 _add("page_texts", lambda spark, d: _pages.page_texts(_pages.suppress_running_text(_pages.page_lines(_positioned(spark, d)))))
 _POSITIONED = r"""(SELECT doc_id, n // 40 + 1 AS page, 700 - (n % 40) * 12.0::DOUBLE AS y, text FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS text, unnest(range(0, len(string_split(text, '. ')))) AS n FROM documents))"""
-_add("running_text", lambda spark, d: _pages.suppress_running_text(_positioned(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")), f"WITH p AS (SELECT doc_id, count(*) AS n, max(page) AS k FROM {_POSITIONED} GROUP BY 1) SELECT doc_id, n + CASE WHEN k >= 4 THEN 1 ELSE k END AS lines FROM p")
+# on a page of 800 points only the footer stands in a margin: lines of the text that repeat from page to page aren't running text, as in the SQL
+_add("running_text", lambda spark, d: _pages.suppress_running_text(_positioned(spark, d).withColumn("page_height", F.lit(800.0))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")), f"WITH p AS (SELECT doc_id, count(*) AS n, max(page) AS k FROM {_POSITIONED} GROUP BY 1) SELECT doc_id, n + CASE WHEN k >= 4 THEN 1 ELSE k END AS lines FROM p")
 
 
 # conversations as PDF files of one page, a line for each turn

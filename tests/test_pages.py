@@ -35,6 +35,17 @@ def test_running_text(spark):
     assert all(r.k == running_key(r.y, r.text) for r in keys)
 
 
+def test_running_text_of_repeating_sentences(spark, tmp_path):
+    import duckdb
+
+    from doclathe.plans import catalogue
+
+    rows = [(1, "Same. " * 170 + "end"), (2, "Same. " * 100), (3, " ".join(f"Line {i}." for i in range(200))), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(catalogue.ORACLES["running_text"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, catalogue.QUERIES["running_text"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_files_to_text(spark, tmp_path):
     from doclathe.sources import files
     from test_pdf import lines, write
