@@ -40,6 +40,8 @@ LEAF = 100
 MEASURED = 100
 RECALL = 0.94
 EVERY = 20
+#: Queries whose margins to all planes are held at once.
+VISITORS = 256
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +232,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             h = np.asarray(batch.column("hash"), np.int64)
             h, first = np.unique(h, return_index=True)
             rows = rows[first]
-            seen = forest.value.visit(rows, visits)
-            leaf = np.array([x for v in seen for x in v], np.int64)
-            who = np.repeat(np.arange(len(rows)), [len(v) for v in seen])
-            none = np.zeros(len(rows), np.int64)
-            yield from _dealt(1, leaf, who, h, rows, np.zeros(0, np.int64), none, none, buckets)
+            for some, leaf, who, a in _visited(forest.value, rows, visits):
+                none = np.zeros(len(some), np.int64)
+                yield from _dealt(1, leaf, who, h[a : a + len(some)], some, np.zeros(0, np.int64), none, none, buckets)
 
     def rerank(table: pa.Table) -> pa.Table:
         """Exact scores within the leaves of a bucket, and the best of each query, ties of the last one included."""
@@ -293,6 +293,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     return rows.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.found").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
+def _visited(forest: Forest, rows: np.ndarray, visits: int):
+    """Some queries at a time: their rows, the leaves that they visit, the place of each leaf's query, the first one's place."""
+    for a in range(0, len(rows), VISITORS):
+        some = rows[a : a + VISITORS]
+        seen = forest.visit(some, visits)
+        yield some, np.array([x for v in seen for x in v], np.int64), np.repeat(np.arange(len(some)), [len(v) for v in seen]), a
+
+
 def _visits(items: DataFrame, asked: DataFrame, forest: Forest, dim: int, top: int, recall: float) -> int:
     """The leaves that queries must visit to reach a share of ``recall`` of the true neighbours of some of them."""
     if recall >= 1:

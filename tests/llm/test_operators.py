@@ -643,6 +643,16 @@ def test_recall_without_clusters(spark, size, recall):
     assert hits >= recall * 20 * len(asked)
 
 
+def test_queries_visit_some_at_a_time():
+    from doclathe.llm import ann
+
+    rows = np.random.default_rng(4).normal(size=(600, 8))
+    forest = ann.Forest(rows, 20, 3, float(np.linalg.norm(rows, axis=1).max()))
+    parts = list(ann._visited(forest, rows, 5))
+    assert sum(len(p[0]) for p in parts) == 600 and max(len(p[0]) for p in parts) <= ann.VISITORS
+    assert [x for p in parts for x in p[1].tolist()] == [x for v in forest.visit(rows, 5) for x in v]
+
+
 def test_few_neighbours(spark):
     table = spark.createDataFrame([(20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest(table, table.where("vec_id = 20")).orderBy("rank").collect()] == [(1, 2.0), (2, 1.0)]
