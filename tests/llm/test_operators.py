@@ -544,6 +544,20 @@ def test_urls(spark):
     assert (at["x://c.net?/en/"].host, at["x://c.net?/en/"].path) == ("c.net", "") and at[None].host == "" and got[None].rule == "net/"
 
 
+def test_urls_are_all_fitted(spark, monkeypatch):
+    """Every distinct labelled URL counts, but those held out; the threshold is the exact quantile of these."""
+    rows = [(i, f"http://{'casino' if i % 4 == 0 else 'school'}{i}.com/{i * 7919 % 1000}") for i in range(400)]
+    pages = urls.ruled(urls.parts(spark.createDataFrame(rows + rows, "page_id long, url string")))
+    if hasattr(urls, "SAMPLE"):
+        monkeypatch.setattr(urls, "SAMPLE", 20)
+    model = urls.fit_filter(pages)
+    held = {r.host + r.path: r.h for r in pages.select("host", "path", (F.pmod(F.xxhash64("host", "path"), F.lit(3)) == 0).alias("h")).collect()}
+    fitted = [urls.masked(t.split("/")[0], urls.RULES) + "/" + t.split("/")[1] for t, h in held.items() if not h and "school" in t]
+    assert int(model.good.totals.max()) >= sum(len(t) + 1 for t in fitted) > 20 * 30
+    scores = np.sort(model.ratios([t for t, h in held.items() if h and "school" in t]))
+    assert model.threshold == max(scores[int(np.ceil(len(scores) * 0.99)) - 1] + 1e-12, 0)
+
+
 def test_urls_by_the_name_of_the_host():
     rng = random.Random(6)
     good = [(f"www.{rng.choice(['garden', 'school', 'museum', 'library', 'river'])}{rng.randrange(40)}.{rng.choice(['com', 'org'])}", f"/en/{rng.randrange(999)}") for _ in range(400)]
