@@ -45,12 +45,27 @@ MOST_BYTES = 24 << 20
 #: Components of candidates of at most so many blocks compare each block with each other one.
 PAIRED = 64
 BATCH_BYTES = 4 << 20
+#: Bytes of texts that are hashed at once.
+CACHED_BYTES = 1 << 19
+#: Counts of documents beyond this are as one in the order of n-grams.
+MOST_COUNTED = (1 << 24) - 1
 _NO_ID = -(1 << 63)
 
 
 def ngram_hashes(texts, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every n-gram occurrence (the whole sequence where there are fewer words)."""
     data, offsets = bytes_of(texts)
+    hashes, docs, at, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, len(offsets) - 1
+    while at < last:  # so many texts at once that arrays stay in the processor's cache, one at least
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + CACHED_BYTES, side="right")) - 1), last)
+        h, doc = _hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)
+        hashes.append(h)
+        docs.append(doc + at)
+        at = to
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     start, end, doc = word_spans(data, offsets)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -60,12 +75,17 @@ def ngram_hashes(texts, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(word)) - first[doc]
     head = np.flatnonzero(place <= np.maximum(count[doc] - n, 0))
     have = np.minimum(count[doc[head]], n)
-    h = have.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    odds = [np.uint64((0x9FB21C651E98DF25 * (2 * j + 3)) & ((1 << 64) - 1) | 1) for j in range(n)]
     padded = np.concatenate([word, np.zeros(n, np.uint64)])
-    for j in range(n):
-        odd = np.uint64((0x9FB21C651E98DF25 * (2 * j + 3)) & ((1 << 64) - 1) | 1)
-        h += np.where(j < have, padded[head + j] * odd, np.uint64(0))
-    return mix(h), doc[head]
+    every = np.zeros(len(word), np.uint64)
+    for j, odd in enumerate(odds):
+        every += padded[j : j + len(word)] * odd
+    h = every[head]
+    few = np.flatnonzero(have < n)
+    h[few] = 0
+    for j, odd in enumerate(odds[:-1]):
+        h[few] += np.where(j < have[few], padded[head[few] + j] * odd, np.uint64(0))
+    return mix(h + have.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), doc[head]
 
 
 _ROWS = "key int, batch string, kind string, a binary, b binary, c binary, d binary"
@@ -91,18 +111,36 @@ def _group_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def sets_of(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of some texts in order of hash, the text number of each; size and signature of each text's set."""
     h, doc = ngram_hashes(texts, n)
-    order = np.argsort(h, kind="stable")  # texts ascend within equal hashes
-    h, doc = h[order], doc[order]
+    order = np.argsort(h)
+    h, doc = h[order], doc[order].astype(np.uint16)
+    same = h[1:] == h[:-1]
+    run = np.zeros(len(h), bool)
+    run[1:] = same
+    run[:-1] |= same
+    at = np.flatnonzero(run)
+    if len(at):  # texts ascend within equal hashes
+        first = np.ones(len(at), bool)
+        first[1:] = h[at[1:]] != h[at[:-1]]
+        doc[at] = np.sort(np.cumsum(first) << 16 | doc[at]) & 0xFFFF
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new].astype(np.uint16)
+    new[1:] = ~same | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
     by = np.argsort(doc, kind="stable")
     d = doc[by]
     size = np.bincount(d, minlength=len(texts))
-    s1, s2 = (_group_sums(mix(h[by] ^ np.uint64(x)), d, len(texts)) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
+    by_text = h[by]
+    s1, s2 = (_group_sums(mix(by_text ^ np.uint64(x)), d, len(texts)) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
     return h, doc, size.astype(np.int64), s1, s2
 
 
+def _rarest_first(h: np.ndarray, many: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by text, count (up to MOST_COUNTED) and hash of n-grams that come in order of hash."""
+    if len(h) > 1 << 24:
+        return np.lexsort((h, many, doc))
+    # text, count and place in one number
+    return (np.sort(doc.astype(np.uint64) << np.uint64(48) | many.astype(np.uint64) << np.uint64(24) | np.arange(len(h), dtype=np.uint64)) & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
 def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (the set's signature), grams (what is shared, rarest first; null where too little)."""
     parts = max(16, 2 * partitions(docs.sparkSession))
@@ -123,13 +161,13 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
     def count(table: pa.Table) -> pa.Table:
         """Within a hash range: what two documents or more have, back to the batches."""
         rows = table.to_pylist()
-        out = [(0, r["batch"], "docs", r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] == "docs"]
+        out = [(r["key"], r["batch"], "docs", r["a"], r["b"], r["c"], r["d"]) for r in rows if r["kind"] == "docs"]
         rows = [r for r in rows if r["kind"] == "grams"]
         if rows:
             lists = [from_planes(r["a"], np.uint64) for r in rows]
             who = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in lists])
             h, doc = np.concatenate(lists), np.concatenate([np.frombuffer(r["b"], np.uint16) for r in rows])
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             sorted_h = h[order]
             new = np.ones(len(h), bool)
             new[1:] = sorted_h[1:] != sorted_h[:-1]
@@ -137,19 +175,19 @@ def shared_sets(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Data
             many = np.empty(len(h), np.int64)
             many[order] = np.repeat(run, run)
             keep = many > 1
-            h, doc, who, many = h[keep], doc[keep], who[keep], np.minimum(many[keep], (1 << 32) - 1).astype(np.uint32)
+            h, doc, who, many = h[keep], doc[keep], who[keep], np.minimum(many[keep], MOST_COUNTED).astype(np.uint32)
             at = np.searchsorted(who, np.arange(len(rows) + 1))
-            out += [(0, r["batch"], "grams", planes(h[a:b]), doc[a:b].tobytes(), many[a:b].tobytes(), None) for r, a, b in zip(rows, at, at[1:]) if b > a]
+            out += [(r["key"], r["batch"], "grams", planes(h[a:b]), doc[a:b].tobytes(), many[a:b].tobytes(), None) for r, a, b in zip(rows, at, at[1:]) if b > a]
         trim_memory()
         return _table(_ROWS, out)
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         out = []
-        grams = [r for r in rows if r["kind"] == "grams"]
+        grams = sorted((r for r in rows if r["kind"] == "grams"), key=lambda r: r["key"])
         none = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
         h, doc, many = (np.concatenate([*x, *y]) for x, y in zip(none, ([from_planes(r["a"], np.uint64) for r in grams], [np.frombuffer(r["b"], np.uint16) for r in grams], [np.frombuffer(r["c"], np.uint32) for r in grams])))
-        order = np.lexsort((h, many, doc))
+        order = _rarest_first(h, many, doc)
         h, doc = h[order], doc[order]
         for r in rows:
             if r["kind"] != "docs":
@@ -282,6 +320,10 @@ class PrefixTree:
 def linked(sets: list[tuple[int, np.ndarray, int, int]], percent: int) -> list[tuple[int, int]]:
     """Links that join (size, grams, label, side) sets: sets of one label are joined already; of sides 0 and 1
     pairs across are compared, of side 2 all pairs. The rarest grams of these sets come first."""
+    if len(sets) == 2:  # most groups; one comparison, no tree
+        (nx, x, of_x, side_x), (ny, y, of_y, side_y) = sets
+        asked = of_x != of_y and (side_x == 2 or side_x != side_y)
+        return [(0, 0), (1, int(of_x != of_y and not (asked and len(x) + len(y) - len(np.union1d(x, y)) >= needed(nx, ny, percent))))]
     _, where, counts = np.unique(np.concatenate([s[1] for s in sets]), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))

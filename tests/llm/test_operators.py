@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,39 @@ def test_ngram_join_of_many_blocks_goes_by_grams(spark, monkeypatch):
     test_ngram_join_of_chained_clusters(spark)
 
 
+def test_ngram_hashes_of_small_pieces_at_once(monkeypatch):
+    rng = random.Random(31)
+    texts = [rng.choice([None, "", " ", "a B", words(rng, rng.randrange(1, 80))]) for _ in range(400)] + [words(rng, 900), ""]
+    alone = [(h, i) for i, t in enumerate(texts) for h in ngram_join.ngram_hashes(pa.array([t], pa.string()))[0].tolist()]
+    held, spans = [], ngram_join.word_spans
+    monkeypatch.setattr(ngram_join, "word_spans", lambda data, offsets: held.append((len(data), len(offsets) - 1)) or spans(data, offsets))
+    monkeypatch.setattr(ngram_join, "CACHED_BYTES", 1000, raising=False)
+    h, doc = ngram_join.ngram_hashes(pa.array(texts))
+    assert list(zip(h.tolist(), doc.tolist())) == alone
+    assert all(size <= 1000 or count == 1 for size, count in held) and len(held) > 20
+    assert [x.tolist() for x in ngram_join.sets_of(pa.array(texts), 5)[:2]] == [list(x) for x in zip(*sorted(set(alone)))]
+
+
+def test_ngrams_in_order_of_count():
+    rng = np.random.default_rng(4)
+    h, many, doc = np.sort(rng.integers(0, 1 << 63, 5000).astype(np.uint64)), rng.integers(2, 9, 5000).astype(np.uint32), rng.integers(0, 40, 5000).astype(np.uint16)
+    many[:50] = ngram_join.MOST_COUNTED
+    assert ngram_join._rarest_first(h, many, doc).tolist() == np.lexsort((h, many, doc)).tolist()
+
+
+def test_two_sets_are_compared_without_a_tree(monkeypatch):
+    rng, made, tree = random.Random(6), [], ngram_join.PrefixTree
+    monkeypatch.setattr(ngram_join, "PrefixTree", lambda *a: made.append(1) or tree(*a))
+    for _ in range(300):
+        x, y = (np.array(sorted(rng.sample(range(24), rng.randrange(14, 24))), np.uint64) for _ in range(2))
+        (nx, ny), (a, b) = ((len(s) + rng.randrange(3) for s in (x, y)), rng.choice([(2, 2), (0, 1), (1, 0), (0, 0)]))
+        label = rng.randrange(4)
+        common = len(set(x.tolist()) & set(y.tolist()))
+        joined = not label or (a == 2 or a != b) and 100 * common >= 80 * (nx + ny - common)
+        assert ngram_join.linked([(nx, x, 0, a), (ny, y, label, b)], 80) == [(0, 0), (1, 0 if joined else 1)]
+    assert not made
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(5)
     for _ in range(30):
